@@ -21,6 +21,29 @@ def p2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(table(spark, sf_dir, "segments"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.p03_split import oversized_items, split_items
+
+    pieces = split_items(oversized_items(table(spark, sf_dir, "extractions"), table(spark, sf_dir, "segments")))
+    return pieces.where("piece_no = 1").select("extraction_id", "seg_no").distinct()
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.p03_split import split_extractions
+
+    return split_extractions(table(spark, sf_dir, "extractions"), table(spark, sf_dir, "segments"))
+
+
+def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.p04_turns import speaker_turns
+
+    return speaker_turns(table(spark, sf_dir, "segments"), table(spark, sf_dir, "casts"), table(spark, sf_dir, "speakers"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_turns(spark, sf_dir).select("extraction_id", "start_ms", "speaker_id").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.llm.p08_encode import encode_corpus
 
@@ -30,7 +53,19 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_runs": p2_runs,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_turns": p4_turns,
     "p8_ids": p8_ids,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": """
+        SELECT DISTINCT extraction_id, seg_no FROM (
+            SELECT extraction_id, -1 AS seg_no, text, 4000 AS size_limit FROM extractions
+            UNION ALL SELECT extraction_id, CAST(u.i - 1 AS INTEGER), segments[u.i].text, 1500
+                FROM extractions, LATERAL (SELECT unnest(range(1, len(segments) + 1)) AS i) u
+            UNION ALL SELECT extraction_id, seq, text, 1500 FROM segments)
+        WHERE length(text) > size_limit""",
+}
