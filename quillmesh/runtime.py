@@ -18,6 +18,7 @@ def session(app: str = "quillmesh", cores: str = "*", partitions: int = 8) -> Sp
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -49,7 +50,7 @@ def blocked_last(df: DataFrame, keys: list[str], order: str, value, name: str, b
     blocks of ``block`` positions, each block is reduced to its last value, those (one row a
     block) are filled among themselves and joined back. ``order`` must be an integer column.
     With ``include_self=False`` the value comes from strictly earlier rows. Null order values
-    form a block of their own that comes first.
+    form a block of their own that comes first. ``df`` is read twice: cut() an expensive one first.
     """
     from pyspark.sql import Window
 
@@ -57,10 +58,9 @@ def blocked_last(df: DataFrame, keys: list[str], order: str, value, name: str, b
     blocked = df.withColumn(b, F.floor(F.coalesce(F.col(order), F.lit(-1)) / block)).withColumn("__v", value)
     rows = Window.partitionBy(*keys, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if include_self else -1)
     inside = blocked.withColumn("__in", F.last("__v", ignorenulls=True).over(rows))
-    ends = blocked.where(F.col("__v").isNotNull()).groupBy(*keys, b).agg(F.max_by("__v", order).alias("__end"))
-    every = blocked.select(*keys, b).distinct().join(ends, [*keys, b], "left")
+    ends = blocked.groupBy(*keys, b).agg(F.max(F.when(F.col("__v").isNotNull(), F.struct(order, "__v")))["__v"].alias("__end"))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    filled = every.withColumn(carried, F.last("__end", ignorenulls=True).over(before)).where(F.col(carried).isNotNull()).drop("__end")
+    filled = ends.withColumn(carried, F.last("__end", ignorenulls=True).over(before)).where(F.col(carried).isNotNull()).drop("__end")
     back = [inside[k].eqNullSafe(filled[k]) for k in [*keys, b]]
     condition = back[0]
     for c in back[1:]:
