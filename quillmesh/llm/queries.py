@@ -50,6 +50,18 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.p10_cut import truncated
+
+    return truncated(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.p10_cut import cut_rates
+
+    return cut_rates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_runs": p2_runs,
@@ -58,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_turns": p4_turns,
     "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
 
 SQL: dict[str, str] = {
