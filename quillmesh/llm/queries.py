@@ -50,6 +50,16 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.p09_leaks import leaked
+
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).select("doc_id", "item_no")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.llm.p10_cut import truncated
 
@@ -70,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_turns": p4_turns,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
