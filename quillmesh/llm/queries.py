@@ -9,6 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmesh.runtime import table
 
 
+def p1_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.p01_residue import residue, usable
+
+    return residue(usable(table(spark, sf_dir, "extractions")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_residue(spark, sf_dir).select("extraction_id").distinct()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.llm.p02_runs import collapse_runs
 
@@ -44,6 +54,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_turns(spark, sf_dir).select("extraction_id", "start_ms", "speaker_id").distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.p01_residue import residue, usable
+    from quillmesh.llm.p05_main import surrounding_lines
+
+    extractions = table(spark, sf_dir, "extractions")
+    pages = extractions.where("status = 'success' and kind = 'html'")
+    left_out = residue(usable(extractions, ("html",))).select("extraction_id")
+    return surrounding_lines(pages).join(left_out, "extraction_id", "left_anti")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.llm.p08_encode import encode_corpus
 
@@ -73,12 +93,15 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_residue": p1_residue,
     "p2_found": p2_found,
     "p2_runs": p2_runs,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_turns": p4_turns,
+    "p5_found": p5_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
