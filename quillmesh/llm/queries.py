@@ -64,6 +64,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrounding_lines(pages).join(left_out, "extraction_id", "left_anti")
 
 
+def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.p06_language import identify
+
+    texts = table(spark, sf_dir, "extractions").where("status = 'success'").select("extraction_id", "text", "language")
+    return identify(texts).dropDuplicates(["extraction_id", "para_no"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.p01_residue import residue, usable
+    from quillmesh.llm.p06_language import identify
+
+    extractions = table(spark, sf_dir, "extractions")
+    found = identify(extractions.where("status = 'success'").select("extraction_id", "text", "language"))
+    cases = found.where("para_no >= 0 or stated is null or stated <> lang").select("extraction_id", "para_no", "lang").distinct()
+    return cases.join(residue(usable(extractions)).select("extraction_id"), "extraction_id", "left_anti")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.llm.p08_encode import encode_corpus
 
@@ -102,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_turns": p4_turns,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_languages": p6_languages,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
