@@ -2,44 +2,92 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.runtime import cut
+
 GRAM, WINDOW = 3, 2  # words hashed together, hashes of which the least is kept: spans of GRAM + WINDOW - 1 equal words always meet
 LEAST = 12  # words of an item that make a leak
 ERRORS = 8  # about one word in so many may be wrong
+LEAST_HITS = 2  # shared fingerprints of a pair that is read; an equal span of 7 words, or two of 4, always gives so many
 RARE = 0.02  # share of the items that may have a gram which still tells items apart
 BROADCAST_ITEMS = 5000  # items whose fingerprints are broadcast; more are joined by a shuffle
 
 
-def words(text: Column) -> Column:
-    """Lower-case words without markup, character entities, apostrophes and invisible characters."""
-    c = F.regexp_replace(text, r"&amp;(?=#?\w{1,8};)", "&")
-    c = F.regexp_replace(c, r"&(?:apos|rsquo|lsquo|shy|#0*39|#x0*27|#8217|#8203);|['’‘​‌‍﻿­]", "")
-    c = F.regexp_replace(c, r"&[A-Za-z]{2,8};|&#x?[0-9A-Fa-f]{2,6};|<[/A-Za-z][^<>]{0,80}>", " ")
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
-
-
-def fingerprints(w: Column) -> Column:
-    """The hash of each GRAM consecutive words with its negated position, so that of equal hashes the last is least."""
-    last = F.size(w) - GRAM
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(F.array_join(F.slice(w, i + 1, GRAM), " ")).alias("h"), (-i).alias("i")))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+ENTITY = re.compile(r"&amp;(?=#?\w{1,8};)")
+INSIDE = re.compile(r"&(?:apos|rsquo|lsquo|shy|#0*39|#x0*27|#8217|#8203);|['’‘​‌‍﻿­]", re.I)
+OUTSIDE = re.compile(r"&[A-Za-z]{2,8};|&#x?[0-9A-Fa-f]{2,6};|<[/A-Za-z][^<>]{0,80}>")
+WORD = re.compile(r"\w+")
+_codes: dict[str, int] = {}
 
 
-def _winnow(hashes: Column) -> Column:
-    """Of each WINDOW consecutive hashes the least, without repeats; fewer hashes than a window keep their least."""
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(hashes) - (WINDOW - 1))), lambda i: F.array_min(F.slice(hashes, i, WINDOW)))
-    return F.array_distinct(F.filter(windows, lambda x: x.isNotNull()))
+def words(text: str) -> list[str]:
+    """Lower-case words without markup, character entities, apostrophes and invisible characters."""
+    if "&" in text:
+        text = ENTITY.sub("&", text)
+    text = INSIDE.sub("", text)
+    if "&" in text or "<" in text:
+        text = OUTSIDE.sub(" ", text)
+    return WORD.findall(text.lower().replace("_", " "))
+
+
+def gram_hashes(ws: list[str]) -> np.ndarray:
+    """The hash of each GRAM consecutive words."""
+    n = len(ws) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    if len(_codes) > 1 << 20:
+        _codes.clear()
+    get = _codes.get
+    ids = np.fromiter((get(w) or _codes.setdefault(w, xxhash.xxh64_intdigest(w) | 1) for w in ws), np.uint64, len(ws))
+    mixed = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(GRAM):
+            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n]
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+
+
+def winnow(hashes: np.ndarray) -> np.ndarray:
+    """Positions of the least of each WINDOW consecutive hashes, the last of equal ones; fewer hashes keep their least."""
+    n = len(hashes)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    w = min(WINDOW, n)
+    best = np.arange(n - w + 1)
+    for k in range(1, w):
+        other = np.arange(k, n - w + 1 + k)
+        best = np.where(hashes[other] <= hashes[best], other, best)
+    return np.unique(best)
+
+
+def prints(df: DataFrame, key: str, text: str, names: tuple[str, str], every: bool = False) -> DataFrame:
+    """(key, h, position) of each row's winnowed fingerprints, or of all its grams."""
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias(names[0]), F.col(text).alias("t"))
+    kind = dict(rows.dtypes)[names[0]]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, hs, ps = [], [], []
+            for t in batch.column(1).to_pylist():
+                h = gram_hashes(words(t))
+                p = np.arange(len(h)) if every else winnow(h)
+                sizes.append(len(p)), hs.append(h[p]), ps.append(p)
+            take = np.repeat(np.arange(batch.num_rows), sizes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(take)), pa.array(np.concatenate(hs) if hs else np.zeros(0, np.int64), pa.int64()), pa.array(np.concatenate(ps) if ps else np.zeros(0, np.int64), pa.int32())], names=[names[0], "h", names[1]]
+            )
 
-def _prints(df: DataFrame, key: str, text: str, names: tuple[str, str]) -> DataFrame:
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias(names[0]), words(F.col(text)).alias("w"))
-    hashed = rows.select(names[0], fingerprints(F.col("w")).alias("hs")).where("size(hs) > 0")
-    return hashed.select(names[0], F.explode(_winnow(F.col("hs"))).alias("f")).select(names[0], F.col("f.h").alias("h"), (-F.col("f.i")).alias(names[1]))
+    return rows.mapInArrow(run, f"{names[0]} {kind}, h bigint, {names[1]} int")
 
 
 def stretch(doc: list[str], item: list[str], shift: int, at: int) -> tuple[int, int, int]:
@@ -99,28 +147,34 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     ``least`` words give no rows; repeated rows count once; very long texts are read whole.
     """
     asked = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("item_text")).where("item is not null and item_text is not null").dropDuplicates(["item"])
-    theirs = _prints(asked, "item", "item_text", ("item", "ipos"))
-    grams = asked.select("item", F.explode(fingerprints(words(F.col("item_text")))).alias("f")).select("item", F.col("f.h").alias("h"), (-F.col("f.i")).alias("p"))
-    share = F.greatest(F.lit(2), F.lit(RARE) * asked.count())
-    few = grams.groupBy("h").agg(F.countDistinct("item").alias("n")).where(F.col("n") <= share)
+    items_n = asked.count()
+    theirs = cut(prints(asked, "item", "item_text", ("item", "ipos")))
+    grams = cut(prints(asked, "item", "item_text", ("item", "p"), every=True))
+    few = grams.groupBy("h").agg(F.countDistinct("item").alias("n")).where(F.col("n") <= max(2, RARE * items_n))
     asked = asked.join(grams.join(few, "h").groupBy("item").agg(F.array_sort(F.collect_set("p")).alias("own")), "item")
-    if asked.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS:
-        theirs, asked = F.broadcast(theirs), F.broadcast(asked)
-    ours = _prints(documents, key, text, ("doc", "dpos"))
-    met = ours.join(theirs, "h").groupBy("doc", "item").agg(F.collect_set(F.struct("dpos", "ipos")).alias("hits"))
-    texts = documents.select(F.col(key).alias("doc"), words(F.col(text)).alias("dw")).where("doc is not null and dw is not null")
-    pairs = met.join(texts, "doc").join(asked.select("item", "own", words(F.col("item_text")).alias("iw")), "item")
+    hint = F.broadcast if items_n <= BROADCAST_ITEMS else (lambda df: df)
+    met = prints(documents, key, text, ("doc", "dpos")).join(hint(theirs), "h")
+    # Hits along one diagonal are joined before they travel: a long equal span is one row.
+    met = met.groupBy("doc", "item", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.array_sort(F.collect_set("ipos")).alias("at")).groupBy("doc", "item").agg(F.collect_list(F.struct("shift", "at")).alias("hits"))
+    enough = F.aggregate("hits", F.lit(0), lambda n, x: n + F.size(x["at"])) >= LEAST_HITS
+    met = cut(met.where(enough))
+    texts = documents.select(F.col(key).alias("doc"), F.col(text).alias("dt")).where("doc is not null and dt is not null").join(met.select("doc").distinct(), "doc", "left_semi")
+    pairs = met.join(texts, "doc").join(hint(asked.select("item", "own", "item_text")), "item")
     kinds = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, dw, items_words = None, [], {}
         for batch in batches:
             out = defaultdict(list)
-            for doc, item, hits, dw, iw, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                n = overlap(dw, iw, [(h["dpos"], h["ipos"]) for h in hits], own)
+            for doc, item, hits, dt, it, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if doc != at:
+                    at, dw = doc, words(dt)
+                iw = items_words.get(it) or items_words.setdefault(it, words(it))
+                n = overlap(dw, iw, [(h["shift"] + i, i) for h in hits for i in h["at"]], own)
                 if n >= least:
                     for name, v in (("doc", doc), ("item", item), ("n", n)):
                         out[name].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["doc"], batch.schema.field(0).type), pa.array(out["item"], batch.schema.field(1).type), pa.array(out["n"], pa.int32())], names=[key, item_key, "n_words"])
 
-    found = pairs.select("doc", "item", "hits", "dw", "iw", "own").mapInArrow(run, f"{key} {kinds[0]}, {item_key} {kinds[1]}, n_words int")
+    found = pairs.select("doc", "item", "hits", "dt", "item_text", "own").mapInArrow(run, f"{key} {kinds[0]}, {item_key} {kinds[1]}, n_words int")
     return found.groupBy(key, item_key).agg(F.max("n_words").alias("n_words"))

@@ -81,6 +81,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.join(residue(usable(extractions)).select("extraction_id"), "extraction_id", "left_anti")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.p07_scans import scan_faults
+
+    return scan_faults(table(spark, sf_dir, "extractions").where("status = 'success' and kind in ('pdf', 'image')"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.llm.p08_encode import encode_corpus
 
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_languages": p6_languages,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
