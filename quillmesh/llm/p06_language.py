@@ -87,9 +87,11 @@ class Model:
 
 def _centred(counts: dict[str, list[float]], totals: np.ndarray) -> dict[str, np.ndarray]:
     """Log-frequency of each language less the mean, so that zero is no evidence."""
-    out = {}
+    out, seen = {}, totals > 0
+    size = np.maximum(totals, 0.02 * totals.max(initial=1)) + 1  # so that a language with few words isn't favoured where none is known
     for k, c in counts.items():
-        x = np.log((np.array(c) + 0.05) / (totals + 1))
+        x = np.log((np.array(c) + 0.05) / size)
+        x[~seen] = x.min()
         out[k] = (x - x.mean()).astype(np.float32)
     return out
 

@@ -135,7 +135,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_rates": p10_rates,
 }
 
+RUNS = r"""
+    WITH once AS (SELECT extraction_id, seq, start_ms, end_ms, text FROM segments WHERE regexp_matches(text, '[^\s\x{00A0}\x{200B}\x{FEFF}]')
+        QUALIFY row_number() OVER (PARTITION BY extraction_id, seq ORDER BY arrived_at) = 1),
+    bare AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '</?[A-Za-z0-9][^<>]*>', '', 'g'), '&amp;(#?\w+;)', '&\1', 'g'),
+        '(?i)&(lt|gt|quot|apos|nbsp|amp|hellip|[lr][sd]quo|[mn]dash|middot|copy|shy|#0*(3[2-9]|4[0-7]|160|82\d\d)|#x0*(2[0-9a-f]|a0|20[0-9a-f]{2}));', '', 'g'),
+        '&([A-Za-z])(acute|grave|circ|uml|tilde|cedil|ring|slash);', '\1', 'g')), '[^\p{L}\p{M}\p{N}]+', '', 'g') AS t FROM once),
+    before AS (SELECT *, lag(t) OVER w AS p, row_number() OVER w AS n FROM bare WINDOW w AS (PARTITION BY extraction_id ORDER BY seq)),
+    flagged AS (SELECT *, CASE WHEN n > 1 AND (t = p OR (abs(length(t) - length(p)) <= 1 AND levenshtein(t, p) <= 1 AND regexp_replace(t, '\P{N}+', '', 'g') = regexp_replace(p, '\P{N}+', '', 'g'))) THEN 0 ELSE 1 END AS new FROM before),
+    runs AS (SELECT *, sum(new) OVER (PARTITION BY extraction_id ORDER BY seq) AS run FROM flagged)
+    SELECT extraction_id, CAST(min(seq) AS BIGINT) AS first_seq, CAST(max(seq) AS BIGINT) AS last_seq{more} FROM runs GROUP BY extraction_id, run HAVING count(*) > 1"""
+
 SQL: dict[str, str] = {
+    "p2_found": RUNS.replace("{more}", ""),
+    "p2_runs": RUNS.replace("{more}", ", arg_min(start_ms, seq) AS start_ms, arg_max(end_ms, seq) AS end_ms, count(*) AS n_events, arg_max(end_ms, seq) - arg_min(start_ms, seq) AS duration_ms"),
     "p3_found": """
         SELECT DISTINCT extraction_id, seg_no FROM (
             SELECT extraction_id, -1 AS seg_no, text, 4000 AS size_limit FROM extractions
