@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import urls
 from quillmesh.functions.text import trimmed
 from quillmesh.operators import captions, detect, files, html, identity, sinks, social, tables, textops
-from quillmesh.runtime import table
+from quillmesh.runtime import once, table
 
 SOURCES = """
     SELECT doc_id, CASE doc_id % 20
@@ -94,11 +94,11 @@ def derived(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFram
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, SOURCES, "documents")
+    return once(derived(spark, sf_dir, SOURCES, "documents"), raw=F.col("raw"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, PAGES, "documents")
+    return once(derived(spark, sf_dir, PAGES, "documents"), url=F.col("url"), html=F.col("html"))
 
 
 KIND = rf"""CASE WHEN vid IS NOT NULL THEN 'youtube'

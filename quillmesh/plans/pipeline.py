@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions.text import blank_to_null, trimmed
 from quillmesh.operators import captions, detect, html, identity, sinks
 from quillmesh.operators.files import assembled, extracted_file
+from quillmesh.runtime import once
 
 RESULT = ("raw", "kind", "slug", "status", "title", "author", "duration_ms", "language", "text", "extractor", "error", "exit_code")
 
@@ -54,6 +55,7 @@ class Kind:
 def pages(df: DataFrame) -> DataFrame:
     """Rows with html: gate, clean-up, login wall, title."""
     md = html.extracted(df.select("raw", "kind", "slug", F.col("html").alias("__md")), "__md", "raw")
+    md = once(md, __md=F.col("__md"))
     text = F.col("__md")
     wall = F.coalesce(detect.is_login_wall(text), F.lit(False))
     ok = text.isNotNull() & ~wall
@@ -129,11 +131,12 @@ class Engine:
 
     def detect(self, sources: DataFrame) -> DataFrame:
         raw = F.col("raw")
-        slug = identity.input_slug(raw, F.col("kind"), detect.video_id(raw))
+        slug = identity.input_slug(raw, F.col("kind"), F.col("__video"))
         for p in reversed(self.registry.all()):
             if not isinstance(p, Kind):
                 slug = F.when(F.col("kind") == p.kind, p.slug(raw)).otherwise(slug)
-        return sources.withColumn("kind", self.registry.kind(raw)).withColumn("slug", slug)
+        found = once(sources, kind=self.registry.kind(raw), __video=detect.video_id(raw))
+        return once(found, slug=slug).drop("__video")
 
     def run(self, sources: DataFrame, done: DataFrame | None = None, force: bool = False, provider: str | None = None) -> DataFrame:
         """Results of all sources that have no earlier success in ``done`` (source_id, slug, status).

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +68,13 @@ def blocked_last(df: DataFrame, keys: list[str], order: str, value, name: str, b
     return out
 
 
-def rounds_for(n: int) -> int:
-    """Pointer-doubling rounds that cover chains of n links."""
-    return max(1, math.ceil(math.log2(max(2, n))) + 1)
+def once(df: DataFrame, **columns) -> DataFrame:
+    """Adds computed columns that later steps read as they are.
+
+    Filters and projections further up would otherwise take in the columns' expressions, once
+    for each use, and large expressions would be planned, compiled and run that often. A
+    generator of one row is where such rewriting stops; it moves no data.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__once")
+    return df.select(*kept, made).select(*[n if n in kept else F.col(f"__once.{n}").alias(n) for n in dict.fromkeys([*df.columns, *columns])])
