@@ -19,6 +19,7 @@ TABLES = HAMMING + 1  # of equal parts of the hash; codes within HAMMING agree i
 BROADCAST_ROWS = 20_000  # labelled texts that are broadcast in one round; more are joined by a shuffle
 ROUNDS = 20
 NOTICE_WORDS = 45
+PROVEN, SOLE_SHARE = 3, 0.8  # differently titled records, and share of a line's places, that prove a line to be residue
 
 # How templates mark what they fill in, and what failed fill-ins leave.
 NAME = r"[A-Za-z][\w.]{0,40}"
@@ -142,31 +143,43 @@ def simhash(words: list[list[str]]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def once_said(low: str) -> str | None:
+    """The sentence of a line that says nothing but one sentence two times or more, else null."""
+    half = len(low) // 2
+    if half < 12 or low[:12] not in low[12:]:
+        return None
+    parts = [p for p in re.split(r"(?<=[.!?…])\s+", low) if p]
+    return parts[0] if len(parts) > 1 and len(set(parts)) == 1 else None
+
+
 def normal(unit: str) -> str:
     return re.sub(r"\d+", "0", unit.lower()) if any(c.isdigit() for c in unit) else unit.lower()
 
 
 def units_of(records: DataFrame, key: str, text: str, title: str) -> DataFrame:
-    """(key, no, sim, label, prose, unit): the non-blank lines of each record, the title as line -1.
+    """(key, no, sim, label, prose, alone, again, about, unit): the non-blank lines of each record.
 
-    label is the trusted one; prose marks lines that are content in their own right.
+    label is the trusted one; prose marks lines that are content in their own right, alone the
+    short one that is its record's only content, again lines of one sentence said over and over
+    (unit holds it once); about is the hash of the record's title.
     """
     rows = records.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.col(title).alias("ti"))
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int8(), pa.bool_(), pa.string()]
-    names = [key, "no", "sim", "label", "prose", "unit"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int8(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.string()]
+    names = [key, "no", "sim", "label", "prose", "alone", "again", "about", "unit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                ks, nos, labels, proses, texts, words = [], [], [], [], [], []
+                ks, nos, labels, proses, alones, agains, abouts, texts, words = [], [], [], [], [], [], [], [], []
                 for k, t, ti in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     lines = t.split("\n") if t else []
                     fences = t and "```" in t
                     fenced = False
                     marked = bool(t) and placeholders(t) or bool(ti) and placeholders(ti)
                     if marked:  # one row says so for the record
-                        ks.append(k), nos.append(-2), labels.append(PLACED), proses.append(False), texts.append(""), words.append([])
+                        ks.append(k), nos.append(-2), labels.append(PLACED), proses.append(False), agains.append(False), texts.append(""), words.append([])
+                    at_first, content = len(ks), []
                     for no, line in enumerate(lines):
                         if fences and line.lstrip().startswith("```"):
                             fenced = not fenced
@@ -175,13 +188,21 @@ def units_of(records: DataFrame, key: str, text: str, title: str) -> DataFrame:
                         if not unit or fenced:
                             continue
                         low = normal(unit)
+                        said = once_said(low)
+                        again, low = said is not None, said or low
                         ws = WORD.findall(low)
                         label = trusted(unit, low, ws)
                         prose = not label and (len(ws) > 60 or shape(unit, False)[0] == PROSE)
-                        ks.append(k), nos.append(no), labels.append(label), proses.append(prose), texts.append(low), words.append(ws)
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip((ks, nos, simhash(words), labels, proses, texts), kinds, strict=True)], names=names)
+                        if prose or label:
+                            content.append(len(ks))
+                        ks.append(k), nos.append(no), labels.append(label), proses.append(prose), agains.append(again), texts.append(low), words.append(ws)
+                    alones += [False] * (len(ks) - len(alones))
+                    abouts += [(xxhash.xxh64_intdigest(ti or "") >> 1)] * (len(ks) - len(abouts))
+                    if len(content) == 1 and content[0] >= at_first and proses[content[0]] and len(words[content[0]]) <= NOTICE_WORDS:
+                        alones[content[0]] = True
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip((ks, nos, simhash(words), labels, proses, alones, agains, abouts, texts), kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, f"{key} bigint, no int, sim bigint, label tinyint, prose boolean, unit string")
+    return rows.mapInArrow(run, f"{key} bigint, no int, sim bigint, label tinyint, prose boolean, alone boolean, again boolean, about bigint, unit string")
 
 
 def _bands(sim: Column) -> Column:
@@ -202,14 +223,27 @@ def _alike(a: Column, b: Column) -> Column:
 def labelled_units(units: DataFrame, key: str) -> DataFrame:
     """Trusted labels carried through the near-duplicate graph: (key, no, label).
 
+    Trusted are lines that say what they are, and lines that the corpus proves to be residue.
+
     Round by round the newly labelled texts are joined with all unlabelled ones on the parts
     of their codes (TABLES tables; codes within HAMMING meet in one of them), verified by
     Hamming distance and by the Jaccard similarity of their shingles, and take over the label,
     until a round adds nothing: exactly the components that hold a trusted text are walked.
     """
-    found = units.where(f"label in ({FILLED}, {NOTICED})").select(key, "no", "label")
-    front = units.where(f"label in ({FILLED}, {NOTICED})").groupBy("unit", "sim").agg(F.max("label").alias("got"))
-    front = cut(front.select(F.col("unit").alias("fu"), F.col("sim").alias("fs"), "got"))
+    hint = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    # A short line that is the whole content of differently titled records and hardly stands elsewhere is a notice.
+    sole = cut(units.where("alone").groupBy("unit").agg(F.countDistinct("about").alias("n"), F.count("*").alias("times")).where(F.col("n") >= PROVEN))
+    places = units.join(hint(sole), "unit").groupBy("unit").agg(F.max("times").alias("times"), F.count("*").alias("places"))
+    noticed = places.where(F.col("times") >= SOLE_SHARE * F.col("places")).select("unit", F.lit(NOTICED).alias("proof"))
+    # A line that only repeats one sentence, the same in differently titled records, is filler.
+    said = units.where("again").groupBy("unit").agg(F.countDistinct("about").alias("n")).where(F.col("n") >= PROVEN).select("unit", F.lit(FILLED).alias("proof"))
+    proven = cut(noticed.unionByName(said).groupBy("unit").agg(F.max("proof").alias("proof")))
+    sure = cut(
+        units.where(f"label in ({FILLED}, {NOTICED})").select(key, "no", "unit", "sim", "label")
+        .unionByName(units.where(f"label = {NONE}").join(hint(proven), "unit").select(key, "no", "unit", "sim", F.col("proof").cast("tinyint").alias("label")))
+    )
+    found = sure.select(key, "no", "label")
+    front = cut(sure.groupBy(F.col("unit").alias("fu"), F.col("sim").alias("fs")).agg(F.max("label").alias("got")))
     rest = units.where(f"label = {NONE} and unit <> ''").select(key, "no", "sim", "unit").withColumn("b", F.explode(_bands(F.col("sim")))).select(key, "no", "sim", "unit", "b.tab", "b.part")
     seen = front
     for _ in range(ROUNDS):

@@ -36,7 +36,7 @@ def test_labels_spread_only_to_near_duplicates(spark):
     near, far = base.replace("sold", "given"), base.replace("boats that were built there between", "houses")
     rows = [(1, 0, base, p01_residue.NOTICED), (2, 0, base + " today", 0), (3, 0, near, 0), (4, 0, far, 0), (5, 0, "something else", 0)]
     sims = p01_residue.simhash([r[2].split() for r in rows])
-    df = spark.createDataFrame([(k, n, int(s), label, False, u) for (k, n, u, label), s in zip(rows, sims, strict=True)], "extraction_id long, no int, sim long, label byte, prose boolean, unit string")
+    df = spark.createDataFrame([(k, n, int(s), label, False, False, False, 0, u) for (k, n, u, label), s in zip(rows, sims, strict=True)], "extraction_id long, no int, sim long, label byte, prose boolean, alone boolean, again boolean, about long, unit string")
     got = {r.extraction_id for r in p01_residue.labelled_units(df, "extraction_id").collect()}
     assert {1} <= got <= {1, 2, 3}
     bits = lambda a, b: bin(int(a) ^ int(b)).count("1")
@@ -58,6 +58,15 @@ def test_main_body(spark):
     assert p05_main.surrounding_lines(df.limit(0)).count() == 0
 
 
+def test_residue_proven_by_the_corpus(spark):
+    notice, filler = "This little app works best with its motor turned on.", "Put some words about the thing into this box."
+    rows = [(i, f"Title {i}", notice) for i in range(5)] + [(10 + i, f"Other {i}", f"{filler} {filler}\n{ARTICLE}") for i in range(4)] + [(20, "One", f"{filler}\n{ARTICLE}"), (21, "Two", ARTICLE)]
+    rows += [(30 + i, "Same page", "The old mill stood empty for many years.") for i in range(5)] + [(40, "Twice", "It rained and rained. It rained and rained.")]
+    df = spark.createDataFrame(rows, "extraction_id long, title string, text string")
+    got = {r.extraction_id: r.why for r in p01_residue.residue(df).collect()}
+    assert got == {**{i: "notice" for i in range(5)}, **{10 + i: "filler" for i in range(4)}, 20: "filler"}
+
+
 WORDS = {"en": "the house and river were near old town with many people", "de": "das haus und der fluss waren nahe bei einer alten stadt", "es": "la casa y el río estaban cerca del pueblo viejo", "ru": "дом и река были рядом со старым городом людей"}
 
 
