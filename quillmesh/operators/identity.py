@@ -6,7 +6,7 @@ import json
 import unicodedata
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,21 +77,22 @@ def input_slug(raw: Column, kind: Column, video: Column | None = None) -> Column
 def disambiguated(df: DataFrame, slug_col: str = "slug", key: str = "source_id", order: str = "ord", taken: DataFrame | None = None) -> DataFrame:
     """Adds final_slug: the slug, slug--first eight of the id, or slug--id, for first, second and later owners in order.
 
-    An empty slug becomes the id. taken: slugs that earlier results already own. A popular
-    slug's rows are ranked, which a window must do in one task per slug.
+    An empty slug becomes the id. taken: slugs that earlier results already own, so that no new
+    row is first. Only the first owner of a slug and of a shortened form matter, so two
+    aggregates with partial sums find them; no window ranks the rows of a popular slug in one
+    task. Rows equal in order and id get the same slug.
     """
-    named = df.withColumn("__s", F.when(F.coalesce(F.col(slug_col), F.lit("")) == "", F.col(key)).otherwise(F.col(slug_col)))
+    me = F.struct(F.col(order).alias("o"), F.col(key).alias("k"))
+    named = df.withColumn("__s", F.when(F.coalesce(F.col(slug_col), F.lit("")) == "", F.col(key)).otherwise(F.col(slug_col))).withColumn("__me", me)
+    named = named.withColumn("__short", F.concat("__s", F.lit("--"), F.left(key, F.lit(8))))
+    first = named.groupBy(F.col("__s").alias("__t")).agg(F.min("__me").alias("__first"))
     if taken is not None:
-        owned = taken.groupBy(F.col(slug_col).alias("__t")).agg(F.count("*").alias("__n"))
-        named = named.join(owned, named["__s"] == owned["__t"], "left").drop("__t")
-    else:
-        named = named.withColumn("__n", F.lit(0).cast("long"))
-    rank = F.row_number().over(Window.partitionBy("__s").orderBy(order, key)) + F.coalesce("__n", F.lit(0))
-    short = F.concat("__s", F.lit("--"), F.left(key, F.lit(8)))
-    tried = named.withColumn("__r", rank).withColumn("__short", short)
-    again = F.row_number().over(Window.partitionBy("__short").orderBy("__r", order, key))
-    first_short = F.when(F.col("__r") > 1, F.row_number().over(Window.partitionBy("__short", F.col("__r") > 1).orderBy(order, key))).otherwise(again)
-    return tried.withColumn("final_slug", F.when(F.col("__r") == 1, F.col("__s")).when(first_short == 1, F.col("__short")).otherwise(F.concat("__s", F.lit("--"), F.col(key)))).drop("__s", "__n", "__r", "__short")
+        first = first.join(taken.select(F.col(slug_col).alias("__t")).distinct(), "__t", "left_anti")
+    ranked = named.join(first, F.col("__s") == F.col("__t"), "left").withColumn("__lead", F.coalesce(F.col("__me") == F.col("__first"), F.lit(False)))
+    second = ranked.where("not __lead").groupBy(F.col("__short").alias("__u")).agg(F.min("__me").alias("__second"))
+    tried = ranked.join(second, F.col("__short") == F.col("__u"), "left")
+    final = F.when(F.col("__lead"), F.col("__s")).when(F.col("__me") == F.col("__second"), F.col("__short")).otherwise(F.concat("__s", F.lit("--"), F.col(key)))
+    return tried.select(*df.columns, final.alias("final_slug"))
 
 
 def page_title(body: Column, fallback: Column) -> Column:
