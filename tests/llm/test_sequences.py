@@ -6,7 +6,6 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from quillmesh.llm import p02_runs, p03_split, p04_turns, p08_encode
 
