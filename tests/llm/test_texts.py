@@ -43,6 +43,37 @@ def test_labels_spread_only_to_near_duplicates(spark):
     assert bits(sims[0], sims[1]) < bits(sims[0], sims[4])
 
 
+def test_labels_reach_all_that_brute_force_reaches(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts, chain = [], [rng.choice(vocabulary) for _ in range(40)]
+    for _ in range(12):  # copies with words changed, left out and added, in all degrees
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(8, 60))]
+        texts.append((base, p01_residue.NOTICED))
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randrange(2)] = [rng.choice(vocabulary)] * rng.randrange(2)
+            texts.append((copy, 0))
+    texts.append((list(chain), p01_residue.FILLED))
+    for i in range(30):  # each is like the one before, the last ones not at all like the first
+        chain[i] = f"new{i}"
+        texts.append((list(chain), 0))
+    texts.append((chain * 3, 0))
+    texts.append((chain[:5] * 40 + chain, 0))  # the same shingles, some of them many times
+    grams = [{tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} for ws, _ in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want, front = set(), [i for i, (_, label) in enumerate(texts) if label]
+    while front:
+        want |= set(front)
+        front = [j for j in range(len(texts)) if j not in want and any(alike(grams[i], grams[j]) for i in front)]
+    sims = p01_residue.simhash([ws for ws, _ in texts])
+    df = spark.createDataFrame([(i, 0, int(sims[i]), label, False, False, False, 0, " ".join(ws)) for i, (ws, label) in enumerate(texts)], "extraction_id long, no int, sim long, label byte, prose boolean, alone boolean, again boolean, about long, unit string")
+    got = {r.extraction_id for r in p01_residue.labelled_units(df, "extraction_id").collect()}
+    assert got == want and 80 < len(want) < len(texts)
+
+
 def test_main_body(spark):
     nav, foot = "Home | News | Contact", "All rights reserved."
     page = lambda i: "\n".join([nav, "", "We use cookies to improve your visit.", "Got it", "", f"{ARTICLE} Page {i}.", "", "## Heading", "", "- first thing", "- second thing", "", f"{ARTICLE} End {i}.", "Subscribe to our newsletter and never miss a story.", "Related articles", "* A title", "", "- Home", "- Contact", "", foot])
