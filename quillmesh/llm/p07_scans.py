@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quillmesh.runtime import cut
 
-SHARE = 2e-6  # of all words that a word needs to be common; at most 1 / SHARE words can be, which bounds what is broadcast
-LEAST_COUNT = 3
+SHARE = 2e-6  # of all words that a word needs for not being looked up again; at most 1 / SHARE words can have it. Spares rows, decides nothing
+LEAST_COUNT = 3  # times that a known word stands in the corpus, whatever its size
 RATIO = 8  # how many times commoner the corrected word must be
 TRAIN_WORDS, EPOCHS, COPIES = 1200, 3, 5  # commonest words that the editor is trained on, passes over them, misread copies of each
 BROADCAST_WORDS = 500_000
@@ -196,26 +196,35 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return pages.select("pages").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def misread_words(counts: DataFrame, common: dict[str, int], editor: Editor) -> DataFrame:
-    """(word, fixed) of the words that one repair turns into a word RATIO times as common."""
-    handed = counts.sparkSession.sparkContext.broadcast((common, editor.w))
+def misread_words(counts: DataFrame, editor: Editor) -> DataFrame:
+    """(word, fixed) of the words that one repair turns into a word RATIO times as common.
+
+    What each word may be is joined with the counts of the whole corpus by a shuffle; every
+    word is one row there, so no key is hot.
+    """
+    handed = counts.sparkSession.sparkContext.broadcast(editor.w)
+
+    def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+            out = [(w, n, c) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(w) > 1 and not w.isdigit() for c in dict.fromkeys(one_confusion(w))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], names=["word", "n", "maybe"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights = handed.value
         e = Editor()
-        e.w = weights
+        e.w = handed.value
         for batch in batches:
             out = []
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(w) < 2 or w.isdigit():
-                    continue
-                able = {c for c in one_confusion(w) if known.get(c, 0) >= RATIO * n}
-                fixed = next((c for c in e.candidates(w) if c in able), None) if able else None
+            for w, able in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fixed = next((c for c in e.candidates(w) if c in able), None)
                 if fixed is not None:
                     out.append((w, fixed))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())], names=["word", "fixed"])
 
-    return counts.repartition(F.col("word")).mapInArrow(run, "word string, fixed string")
+    maybe = counts.select("word", "n").repartition(F.col("word")).mapInArrow(tries, "word string, n bigint, maybe string")
+    right = counts.where(F.col("n") >= RATIO).select(F.col("word").alias("maybe"), F.col("n").alias("times"))
+    # Never broadcast: the planner can't see how many tries a word gives.
+    able = maybe.join(right.hint("merge"), "maybe").where(F.col("times") >= RATIO * F.col("n")).groupBy("word").agg(F.collect_set("maybe").alias("able"))
+    return able.mapInArrow(run, "word string, fixed string")
 
 
 def masked(line: str) -> str:
@@ -281,19 +290,39 @@ def furniture(pages: list[list[str]], title: str) -> list[dict[int, str]]:
     return numbers
 
 
-def line_faults(pages: DataFrame, common: dict[str, int], bad: DataFrame, editor: Editor, bad_count: int) -> DataFrame:
-    """(k, seg_no, line_no, fault, word): certain faults with a null word, and lines with words to be judged."""
+def line_faults(pages: DataFrame, known: DataFrame, plain: set[str], bad: DataFrame, editor: Editor, bad_count: int) -> DataFrame:
+    """(k, seg_no, line_no, fault, word, fixed): the faults, and for chars the word and its repair.
+
+    known: (word, n) of the right words, joined with the words that line ends divide; plain:
+    words known to be right that need no look-up.
+
+    The lines are read once, with whatever either verdict on a line end would make of them. A
+    row's fault is ``end`` for a line end to be judged, and hangs on the verdicts named in
+    ``yes`` (must be divided) or ``no`` (must not be), each a line's (seg_no, line_no).
+    """
     sc = pages.sparkSession.sparkContext
-    handed = sc.broadcast((common, editor.w))
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-    names = ["k", "seg_no", "line_no", "fault", "word"]
+    handed = sc.broadcast((plain, editor.w))
+    place_kind = pa.struct([("s", pa.int32()), ("i", pa.int32())])
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), place_kind, pa.list_(place_kind)]
+    names = ["k", "seg_no", "line_no", "fault", "word", "kept", "sure", "free", "yes", "no"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights = handed.value
+        skip, weights = handed.value
         e = Editor()
         e.w = weights
         ask: dict[str, str | None] = {}  # token: its word if it must be judged
-        for batch in batches:
+
+        def asked(token: str) -> str | None:
+            word = ask.get(token, "?")
+            if word == "?":
+                word = core(token)
+                word = None if len(word) < 2 or not any(c.isalpha() for c in word) or word in skip else word
+                if len(ask) > 1 << 18:
+                    ask.clear()
+                ask[token] = word
+            return word
+
+        for batch in (whole.slice(at, 100) for whole in batches for at in range(0, whole.num_rows, 100)):
             rows = []
             for k, title, texts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 split = [t.split("\n") for t in texts]
@@ -301,64 +330,70 @@ def line_faults(pages: DataFrame, common: dict[str, int], bad: DataFrame, editor
                 body = []
                 for s, (lines, out) in enumerate(zip(split, marks, strict=True)):
                     for i, fault in out.items():
-                        rows.append((k, s, i, fault, None))
+                        rows.append((k, s, i, fault, None, None, None, None, None, None))
                     body += [(s, i, x.rstrip()) for i, x in enumerate(lines) if x.strip() and i not in out]
-                joined = ""  # the rest of a word divided at the line before
+                before = None  # the line before, if it may divide a word
                 for at, (s, i, line) in enumerate(body):
                     tokens = line.split()
-                    if joined:
-                        tokens = tokens[1:]
-                    joined = ""
+                    here, whole = None, ""
                     if line[-1] in HYPHENS and at + 1 < len(body) and len(line) > 1 and (line[-2].isalnum() or line[-2] in "!|"):
-                        a, b = tokens[-1] if tokens else line.split()[-1], body[at + 1][2].split()[0]
-                        whole, kept = core(a[:-1] + b), core(a[:-1] + "-" + b)
-                        sure = line[-1] in "¬­‐" or whole in known
-                        n_kept = known.get(kept, 0)
+                        a, b = tokens[-1], body[at + 1][2].split()[0]
                         if b[:1].isalpha() or b[:1].isdigit() or b[:1] in "!|":
-                            if not (n_kept and n_kept >= known.get(whole, 0)) and (sure or (not n_kept and b[:1].islower() and e.joins(core(a[:-1]), line[-1], core(b)))):
-                                rows.append((k, s, i, "hyphen", None))
-                                joined = whole
-                                if tokens:
-                                    tokens = tokens[:-1]
-                                if whole and whole not in known:
-                                    rows.append((k, s, i, "chars", f"{len(core(a[:-1]))} {whole}"))
-                                    s2, i2, _ = body[at + 1]
-                                    rows.append((k, s2, i2, "chars", f"-{len(core(a[:-1]))} {whole}"))
-                    for token in tokens:
-                        word = ask.get(token, "?")
-                        if word == "?":
-                            word = core(token)
-                            word = None if len(word) < 2 or not any(c.isalpha() for c in word) or word in known else word
-                            if len(ask) > 1 << 18:
-                                ask.clear()
-                            ask[token] = word
+                            here, whole = {"s": s, "i": i}, core(a[:-1] + b)
+                            left = core(a[:-1])
+                            free = b[:1].islower() and e.joins(left, line[-1], core(b))
+                            rows.append((k, s, i, "end", whole, core(a[:-1] + "-" + b), line[-1] in "¬­‐", free, here, None))
+                            if whole:
+                                rows.append((k, s, i, "chars", f"{len(left)} {whole}", None, None, None, here, None))
+                                s2, i2, _ = body[at + 1]
+                                rows.append((k, s2, i2, "chars", f"-{len(left)} {whole}", None, None, None, here, None))
+                    for n, token in enumerate(tokens):
+                        word = asked(token)
                         if word is not None:
-                            rows.append((k, s, i, "chars", word))
-            columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5
+                            no = [x for x in (before if n == 0 else None, here if n == len(tokens) - 1 else None) if x]
+                            rows.append((k, s, i, "chars", word, None, None, None, None, no or None))
+                    before = here if whole else None
+            columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
 
-    lines = pages.mapInArrow(run, "k bigint, seg_no int, line_no int, fault string, word string")
+    lines = cut(pages.mapInArrow(run, "k bigint, seg_no int, line_no int, fault string, word string, kept string, sure boolean, free boolean, yes struct<s:int,i:int>, no array<struct<s:int,i:int>>"))
+    ends = lines.where("fault = 'end'").select("k", "yes", "word", "kept", "sure", "free")
+    ends = ends.join(known.select("word", F.col("n").alias("n_whole")), "word", "left").join(known.select(F.col("word").alias("kept"), F.col("n").alias("n_kept")), "kept", "left")
+    hyphened = F.coalesce(F.col("n_kept") >= F.coalesce("n_whole", F.lit(0)), F.lit(False))  # at a hyphen the word has anyway
+    divided = F.col("sure") | F.col("n_whole").isNotNull() | (F.col("n_kept").isNull() & F.col("free"))
+    # Records repeated in the table agree on their line ends.
+    divided = cut(ends.where(~hyphened & divided).select("k", "yes").distinct())
+    certain = lines.where("fault not in ('end', 'chars')").select("k", "seg_no", "line_no", "fault")
+    certain = certain.unionByName(divided.select("k", F.col("yes.s").alias("seg_no"), F.col("yes.i").alias("line_no"), F.lit("hyphen").alias("fault")))
     place = F.regexp_extract("word", r"^(-?)(\d+) ", 2).try_cast("int")
-    asked = lines.withColumn("w", F.regexp_replace("word", r"^-?\d+ ", "")).withColumn("place", place).withColumn("second", F.startswith("word", F.lit("-")) & F.col("place").isNotNull())
+    asked = lines.where("fault = 'chars'").select("k", "seg_no", "line_no", "fault", "word", "yes", "no")
+    asked = asked.withColumn("place", F.when(F.col("yes").isNotNull(), place)).withColumn("second", F.col("yes").isNotNull() & F.startswith("word", F.lit("-")))
+    asked = asked.withColumn("w", F.when(F.col("yes").isNotNull(), F.regexp_replace("word", r"^-?\d+ ", "")).otherwise(F.col("word")))
     hint = F.broadcast if bad_count <= BROADCAST_WORDS else (lambda df: df)
-    joined = asked.join(hint(bad.select(F.col("word").alias("bw"), "fixed")), F.col("w") == F.col("bw"), "left")
+    joined = asked.join(hint(bad.select(F.col("word").alias("bw"), "fixed")), F.col("w") == F.col("bw"))
     # In a divided word the fault belongs to the line that holds the first differing character.
-    same = F.col("place").isNotNull() & (F.left("w", F.col("place")) == F.left("fixed", F.col("place")))
-    hit = F.col("fixed").isNotNull() & (F.col("place").isNull() | F.when(F.col("second"), same).otherwise(~same))
-    return joined.where(F.col("word").isNull() | hit).select("k", "seg_no", "line_no", "fault", F.col("w").alias("word"), "fixed")
-
-
-def prepared(pages: DataFrame) -> tuple[dict[str, int], DataFrame, Editor, int]:
-    """Common words, misread words with their repairs, and the trained editor."""
+    same = F.left("w", F.col("place")) == F.left("fixed", F.col("place"))
+    joined = cut(joined.where(F.col("yes").isNull() | F.when(F.col("second"), same).otherwise(~same)).select("k", "seg_no", "line_no", "fault", F.col("w").alias("word"), "fixed", "yes", "no"))
+    out = ["k", "seg_no", "line_no", "fault", "word", "fixed"]
+    free = joined.where("yes is null and no is null").select(*out)
+    whole = joined.where("yes is not null").join(divided, ["k", "yes"], "left_semi").select(*out)
+    parts = joined.where("no is not null")
+    for n in range(2):
+        parts = parts.withColumn("yes", F.get("no", F.lit(n))).join(divided, ["k", "yes"], "left_anti")
+    nothing = F.lit(None).cast("string")
+    return certain.withColumns({"word": nothing, "fixed": nothing}).unionByName(free).unionByName(whole).unionByName(parts.select(*out))
+
+
+def prepared(pages: DataFrame) -> tuple[DataFrame, set[str], DataFrame, Editor, int]:
+    """Known words with their counts, those that need no look-up, misread words with their repairs, and the trained editor."""
     counts = cut(word_counts(pages))
+    best = counts.where((F.col("n") >= LEAST_COUNT) & F.col("word").rlike(r"^\p{L}{2,}$")).orderBy(F.desc("n"), "word").limit(TRAIN_WORDS).collect()
+    editor = Editor().train([r["word"] for r in best])
+    bad = cut(misread_words(counts, editor))
+    known = cut(counts.where(F.col("n") >= LEAST_COUNT).join(bad, "word", "left_anti"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= max(LEAST_COUNT, SHARE * total)).collect()  # at most 1 / SHARE rows
-    common = {r["word"]: r["n"] for r in rows}
-    best = sorted((w for w in common if w.isalpha() and len(w) > 1), key=lambda w: (-common[w], w))[:TRAIN_WORDS]
-    editor = Editor().train(best)
-    bad = cut(misread_words(counts, common, editor))
-    wrong = {r["word"] for r in bad.join(F.broadcast(counts.where(F.col("n") >= max(LEAST_COUNT, SHARE * total)).select("word")), "word", "left_semi").collect()}
-    return {w: n for w, n in common.items() if w not in wrong}, bad, editor, bad.count()
+    plain = {r["word"] for r in known.where(F.col("n") >= SHARE * total).select("word").collect()}  # at most 1 / SHARE rows
+    return known, plain, bad, editor, bad.count()
 
 
 def scan_faults(df: DataFrame, key: str = "extraction_id", segments: str = "segments", title: str = "title") -> DataFrame:
@@ -370,5 +405,4 @@ def scan_faults(df: DataFrame, key: str = "extraction_id", segments: str = "segm
     repeated rows count once; an empty table gives none.
     """
     pages = pages_of(df, key, segments, title)
-    common, bad, editor, n = prepared(pages)
-    return line_faults(pages, common, bad, editor, n).select(F.col("k").alias(key), "seg_no", "line_no", "fault").distinct()
+    return line_faults(pages, *prepared(pages)).select(F.col("k").alias(key), "seg_no", "line_no", "fault").distinct()

@@ -166,6 +166,19 @@ def test_scans_held_out(spark):
     assert p07_scans.scan_faults(df.limit(0)).count() == 0
 
 
+def test_scans_do_not_depend_on_the_size_of_the_corpus(spark):
+    letters = "abdefgijkopqrvxy"
+    bulk = " ".join(a + b + c + "q" for a in letters for b in letters for c in letters)
+    rows = [(k, "t", [(0, 0, "the harbour keeper measured it\nby the harbour wall of the quarry")]) for k in range(9)]
+    rows += [(20, "t", [(0, 0, "the harbour keeper\nby the qua-\nrry wall")]), (21, "t", [(0, 0, "near the harhour wall\nof the kccper it is")]), (22, "t", [(0, 0, "near the harbour wall\nof the quarry 1t and kecper")])]
+    kind = "extraction_id long, title string, segments array<struct<start_ms:bigint,end_ms:bigint,text:string>>"
+    small = {tuple(r) for r in p07_scans.scan_faults(spark.createDataFrame(rows, kind)).collect()}
+    assert {(20, 0, 1, "hyphen"), (22, 0, 1, "chars")} <= small
+    rows += [(100 + i, "t", [(0, 0, bulk)] * 8) for i in range(200)]  # 6.5 million other words
+    large = {tuple(r) for r in p07_scans.scan_faults(spark.createDataFrame(rows, kind)).collect()}
+    assert {r for r in large if r[0] < 100} == small
+
+
 def test_editor_repairs_unseen_copies():
     rng = random.Random(2)
     words = "harbour office measured wooden bridge nobody remembered keeper painted winter several furnace lantern garden".split()
