@@ -60,7 +60,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     extractions = table(spark, sf_dir, "extractions")
     pages = extractions.where("status = 'success' and kind = 'html'")
-    left_out = residue(usable(extractions, ("html",))).select("extraction_id")
+    left_out = residue(usable(extractions)).select("extraction_id")
     return surrounding_lines(pages).join(left_out, "extraction_id", "left_anti")
 
 

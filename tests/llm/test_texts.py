@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.llm import p01_residue, p05_main, p06_language, p07_scans, p09_leaks, p10_cut
+from quillmesh.llm import p01_residue, p05_main, p06_language, p07_scans, p09_leaks, p10_cut, queries
 
 ARTICLE = "The harbour office measured the wooden bridge in early spring. Nobody knew why the clock tower needed a new coat of paint before the season."
 
@@ -98,6 +98,14 @@ def test_residue_proven_by_the_corpus(spark):
     assert got == {**{i: "notice" for i in range(5)}, **{10 + i: "filler" for i in range(4)}, 20: "filler"}
 
 
+def test_main_body_leaves_out_cases_proven_by_other_kinds(spark, tmp_path):
+    notice = "This little app works best with its motor turned on."
+    rows = [(i, kind, "success", f"Title {i}", f"{notice}\nHome", f"https://h.example/{i}") for i, kind in enumerate(("html", "docs", "text"))] + [(9, "html", "success", "Nine", f"{ARTICLE}\nHome", "https://h.example/9")]
+    spark.createDataFrame(rows, "extraction_id long, kind string, status string, title string, text string, source_id string").write.parquet(str(tmp_path / "extractions.parquet"))
+    assert {r.extraction_id for r in queries.p1_found(spark, str(tmp_path)).collect()} == {0, 1, 2}
+    assert {tuple(r) for r in queries.p5_found(spark, str(tmp_path)).collect()} == {(9, 1)}
+
+
 WORDS = {"en": "the house and river were near old town with many people", "de": "das haus und der fluss waren nahe bei einer alten stadt", "es": "la casa y el río estaban cerca del pueblo viejo", "ru": "дом и река были рядом со старым городом людей"}
 
 
