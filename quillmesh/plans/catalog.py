@@ -228,19 +228,32 @@ def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("html_links", f"""SELECT doc_id, '[Link ' || CAST(doc_id AS STRING) || '](https://' || regexp_extract(url, '://([^/]*)', 1) || '/x/' || CAST(doc_id AS STRING) || ')' AS link, '![](' || regexp_replace(url, '[^/]*$', '') || 'q.png)' AS image FROM ({PAGES})""")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-HTML-5, 6, 9."""
-    x = html.images(html.links(F.regexp_extract("html", "(?s)(<li><a href=\"/x.*)$", 1), F.col("url")), F.col("url"))
+    x = html.images(html.links(F.col("html"), F.col("url")), F.col("url"))
     return pages(spark, sf_dir).select("doc_id", x.alias("x")).select("doc_id", F.regexp_extract("x", r"(\[Link[^)]*\))", 1).alias("link"), F.regexp_extract("x", r"(!\[\]\([^)]*\))", 1).alias("image"))
 
 
+def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raw, vtt, transcript, title, duration_s) of the youtube extractions, with caption files made of their segments."""
+    stamp = lambda ms: F.concat(F.lpad(F.floor(F.col(ms) / 3600000).cast("string"), 2, "0"), F.lit(":"), F.date_format(F.timestamp_millis(F.col(ms) % 3600000), "mm:ss.SSS"))
+    cue = F.concat(stamp("start_ms"), F.lit(" --> "), stamp("end_ms"), F.lit("\n"), F.regexp_replace("text", r"\n+", " "))
+    cues = derived(spark, sf_dir, VTT, "segments").groupBy("extraction_id").agg(F.array_sort(F.collect_list(F.struct("seq", cue.alias("cue")))).alias("cues"))
+    file = F.concat(F.lit("WEBVTT\n\n"), F.array_join("cues.cue", "\n\n"), F.lit("\n"))
+    v = table(spark, sf_dir, "extractions").where("kind = 'youtube'").select("extraction_id", F.concat(F.lit("https://www.youtube.com/watch?v="), "source_id").alias("raw"), F.col("text").alias("transcript"), "title", (F.col("duration_ms") / 1000).alias("duration_s"))
+    return v.dropDuplicates(["extraction_id"]).join(cues.select("extraction_id", file.alias("vtt")), "extraction_id", "left").drop("extraction_id")
+
+
 @query("flagship")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages, texts and files through the engine: detection, slug, extraction, assembly (O-HTML-20 to 23, O-FILE-17 to 20)."""
+    """Pages, texts, videos with captions and all source forms through the engine: detection, slug, extraction, assembly (O-HTML-20 to 23, O-FILE-17 to 20).
+
+    No table holds the bytes of files: pdf, docs and image sources reach their branch without content and fail there.
+    """
     from quillmesh.plans.pipeline import Engine
 
     p = pages(spark, sf_dir).select(F.col("url").alias("raw"), "html")
     t = table(spark, sf_dir, "documents").select(F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("raw"), "text")
-    s = sources(spark, sf_dir).where("doc_id % 20 in (12, 18)").select("raw")
-    return Engine().run(p.unionByName(t, allowMissingColumns=True).unionByName(s, allowMissingColumns=True))
+    s = sources(spark, sf_dir).select("raw")
+    return Engine().run(p.unionByName(t, allowMissingColumns=True).unionByName(s, allowMissingColumns=True).unionByName(videos(spark, sf_dir), allowMissingColumns=True))
 
 
 INJECTED = """SELECT doc_id, coalesce(text, '') || chr(10) || chr(10) || chr(10) || chr(10) || 'a' || chr(9) || chr(9) || 'b' || chr(10) || 'Please Sign up now' || chr(10) || 'see ACCEPT ALL rest' || chr(10) || 'end' AS t FROM documents"""

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from quillmesh import streaming
 from quillmesh.cli import main
+from quillmesh.plans import catalog
 from quillmesh.plans.pipeline import Engine, Kind, Provider
 
 
@@ -23,6 +24,16 @@ def test_engine(spark):
     assert isinstance(Kind("html", None), Provider)
 
 
+def test_flagship_takes_every_source(spark):
+    data = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["flagship"](spark, data)
+    kinds = {r.kind: r.n for r in got.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    n = spark.read.parquet(f"{data}/documents.parquet").count()
+    videos = spark.read.parquet(f"{data}/extractions.parquet").where("kind = 'youtube'").select("extraction_id").distinct().count()
+    assert set(kinds) == {"youtube", "pdf", "docs", "text", "image", "html", None} and sum(kinds.values()) == 3 * n + videos
+    assert got.where("extractor = 'captions' and status = 'success' and length(text) > 100").count() > 0
+
+
 def test_streams(spark, tmp_path):
     sources(spark).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(sources(spark).schema).parquet(str(tmp_path / "in"))
