@@ -16,15 +16,15 @@ from quillmesh.runtime import cut
 SHARE = 2e-6  # of all words that a word needs for not being looked up again; at most 1 / SHARE words can have it. Spares rows, decides nothing
 LEAST_COUNT = 3  # times that a known word stands in the corpus, whatever its size
 RATIO = 8  # how many times commoner the corrected word must be
-TRAIN_WORDS, EPOCHS, COPIES = 1200, 3, 5  # commonest words that the editor is trained on, passes over them, misread copies of each
+TRAIN_WORDS, TRAIN_PAIRS, EPOCHS = 1200, 6000, 3  # bounds of the sample that the editor is fitted on: commonest words, pairs of them with misread copies; passes
+SUPPORT, SUPPORT_SHARE = 3, 0.05  # words, and share of the words that have the characters, in which a way of misreading must be seen
+MIDDLE = 2  # characters that one misreading takes or leaves
+SHORT = 3
+TWICE = (8, 64)  # lengths of the words that are tried with two misreadings
+COVERED, FIRM = 0.997, 0.9  # shares of the sample's own edits that lie above the editor's floor, and above what one of two misreadings, or one in a word of SHORT characters, needs
 BROADCAST_WORDS = 500_000
 HEADER_PAGES = 2
 
-# What scanning makes of characters, as (true, seen).
-CONFUSIONS = (
-    ("e", "c"), ("t", "f"), ("o", "0"), ("n", "ri"), ("s", "5"), ("i", "!"), ("l", "1"), ("i", "1"), ("u", "ii"), ("d", "cl"), ("g", "9"), ("h", "li"), ("о", "0"), ("m", "rn"), ("b", "6"), ("и", "н"), ("é", "6"), ("ó", "6"), ("w", "vv"),
-    ("з", "3"), ("c", "e"), ("rn", "m"), ("cl", "d"), ("ü", "ii"), ("б", "6"), ("l", "|"), ("i", "|"), ("i", "l"), ("l", "!"), ("ч", "4"), ("z", "2"),
-)
 HYPHENS = "-‐‑¬­"
 # Words before a page number.
 PAGE = r"(?:page|pg\.?|p\.|pag\.?|página|pág\.?|seite|s\.|bladzijde|blz\.?|pagina|стр\.?|страница|с\.)"
@@ -40,6 +40,18 @@ def core(token: str) -> str:
     return token.strip(EDGES).rstrip("!'’").lstrip("'‘").lower()
 
 
+def aligned(seen: str, true: str) -> tuple[int, str, str] | None:
+    """(place, seen part, true part) where two words differ in one place, or null."""
+    a, most = 0, min(len(seen), len(true))
+    while a < most and seen[a] == true[a]:
+        a += 1
+    b = 0
+    while b < most - a and seen[-1 - b] == true[-1 - b]:
+        b += 1
+    s, t = seen[a : len(seen) - b], true[a : len(true) - b]
+    return (a, s, t) if s and len(s) <= MIDDLE and len(t) <= MIDDLE or not s and len(t) == 1 else None
+
+
 class Editor:
     """Averaged perceptron that gives each character of a word an edit: keep, delete, replace, insert after, or join lines.
 
@@ -48,7 +60,8 @@ class Editor:
 
     def __init__(self) -> None:
         self.w: dict[str, dict[str, float]] = {}
-        self.labels: list[str] = ["keep"]
+        self.floor = self.firm = 0.0  # what an edit's score may lack to the score of keeping, and one of two
+        self.heads: set[str] = set()  # edits that a misreading of the sample begins with
 
     @staticmethod
     def features(s: str, i: int) -> tuple[str, ...]:
@@ -65,16 +78,25 @@ class Editor:
                 total[label] += x
         return total
 
-    def train(self, words: list[str], seed: int = 7) -> Editor:
-        """Fits on words and on misread copies of them made by CONFUSIONS and line ends."""
+    @staticmethod
+    def gold(seen: str, at: int, old: str, new: str) -> tuple[str, list[str]]:
+        """The word as it is read, and the edits that turn ``old`` at a place into ``new``."""
+        s, edits = f"<{seen}>", ["keep"] * (len(seen) + 2)
+        for k in range(len(old)):
+            edits[at + 1 + k] = "delete"
+        if old and new:
+            edits[at + 1] = "replace" + new  # the first seen character becomes all of the true ones
+        elif new:
+            edits[at] = "insert" + new
+        return s, edits
+
+    def train(self, words: list[str], pairs: list[tuple[str, str]], seed: int = 7) -> Editor:
+        """Fits on words as they are, on (seen, true) pairs aligned with each other, and on words divided at line ends."""
         rng = random.Random(seed)
-        data = []
+        data = [(f"<{word}>", ["keep"] * (len(word) + 2)) for word in words]
+        made = [self.gold(seen, *place) for seen, true in pairs if (place := aligned(seen, true))]
+        data += made
         for word in words:
-            data.append((f"<{word}>", ["keep"] * (len(word) + 2)))
-            for _ in range(COPIES):
-                made = self.misread(word, rng)
-                if made:
-                    data.append(made)
             if len(word) > 4:
                 at = rng.randint(2, len(word) - 2)
                 s = f"<{word[:at]}{rng.choice(HYPHENS[:4])}\n{word[at:]}>"
@@ -104,26 +126,27 @@ class Editor:
             for label in row:
                 row[label] = (sums[f, label] + (step - last[f, label]) * row[label]) / max(1, step)
         self.w = {f: {k: x for k, x in row.items() if x} for f, row in self.w.items()}
+        begun = [(s, i, edits) for s, edits in made for i, e in enumerate(edits) if e not in ("keep", "delete") or (e == "delete" and edits[i - 1] == "keep")]
+        self.heads = {edits[i] for _, i, edits in begun}
+        gains = sorted(self.gain(*x) for x in begun)
+        if gains:
+            self.floor, self.firm = (min(0.0, gains[int((1 - share) * len(gains))]) for share in (COVERED, FIRM))
         return self
 
-    @staticmethod
-    def misread(word: str, rng: random.Random) -> tuple[str, list[str]] | None:
-        """A copy of the word with one character misread, and the edits that repair it."""
-        choices = [(t, seen, m.start()) for t, seen in CONFUSIONS for m in re.finditer(re.escape(t), word)]
-        if not choices:
-            return None
-        true, seen, at = rng.choice(choices)
-        s = f"<{word[:at]}{seen}{word[at + len(true) :]}>"
-        gold = ["keep"] * len(s)
-        gold[at + 1] = f"replace{true}"  # the first seen character becomes all of the true ones
-        for k in range(1, len(seen)):
-            gold[at + 1 + k] = "delete"
-        return s, gold
+    def gain(self, s: str, i: int, edits: list[str]) -> float:
+        """By how much the edits from place i on, up to the next kept character, beat keeping."""
+        total, k = 0.0, i
+        while k < len(s) and (k == i or edits[k] == "delete"):
+            x = self.scores(s, k)
+            total += x.get(edits[k], 0.0) - x.get("keep", 0.0)
+            k += 1
+        return total
 
     @staticmethod
-    def apply(s: str, edits: list[str]) -> str:
+    def apply(s: str, edits: dict[int, str]) -> str:
         out = []
-        for c, e in zip(s, edits, strict=True):
+        for i, c in enumerate(s):
+            e = edits.get(i, "keep")
             if e.startswith("replace"):
                 out.append(e[7:])
             elif e.startswith("insert"):
@@ -132,26 +155,34 @@ class Editor:
                 out.append(c)
         return "".join(out).strip("<>")
 
-    def candidates(self, word: str, width: int = 16) -> list[str]:
-        """The repair by the best edits of all characters, then those with one edited place each, best first."""
+    def edits(self, word: str) -> list[tuple[float, int, int, dict[int, str]]]:
+        """(gain, first place, place after, edits) of every single misreading that the weights propose: gains from the floor on."""
         s = f"<{word}>"
         every = [self.scores(s, i) for i in range(len(s))]
-        best = [max(x, key=lambda k: (x[k], k)) if x else "keep" for x in every]
-        out = [self.apply(s, best)]
-        ranked = []
-        for i in range(1, len(s) - 1):
-            x = every[i]
-            for label in sorted((k for k in x if k.startswith(("replace", "insert"))), key=lambda k: -x[k])[:width]:
-                edits = ["keep"] * len(s)
-                edits[i] = label
-                ranked.append((x[label] - x.get("keep", 0.0), self.apply(s, edits)))
-                follow = every[i + 1]
-                if i + 1 < len(s) - 1 and follow.get("delete", -9.0) > -9.0:
-                    edits = list(edits)
-                    edits[i + 1] = "delete"
-                    ranked.append((x[label] - x.get("keep", 0.0) + follow["delete"] - follow.get("keep", 0.0), self.apply(s, edits)))
-        out += [w for _, w in sorted(ranked, key=lambda r: (-r[0], r[1]))]
-        return [w for w in dict.fromkeys(out) if w != word]
+        lead = lambda i, label: every[i].get(label, 0.0) - every[i].get("keep", 0.0)
+        out = []
+        for i in range(len(s) - 1):
+            for label in self.heads.intersection(every[i]):
+                kind = label[:6]
+                if i or kind == "insert":
+                    made, gain = {i: label}, lead(i, label)
+                    out.append((gain, i, i + 1, made))
+                    k = i + 1  # characters after it that go with it
+                    while kind != "insert" and k < len(s) - 1 and k - i < MIDDLE and "delete" in every[k]:
+                        made, gain = made | {k: "delete"}, gain + lead(k, "delete")
+                        out.append((gain, i, k + 1, made))
+                        k += 1
+        floor = self.firm if len(word) <= SHORT else self.floor
+        return [x for x in out if x[0] >= floor]
+
+    def candidates(self, word: str) -> list[str]:
+        """What the word becomes by one proposed misreading, then by two apart from each other, best first."""
+        s, ones = f"<{word}>", self.edits(word)
+        firm = [x for x in ones if x[0] >= self.firm] if TWICE[0] <= len(word) <= TWICE[1] else []
+        ranked = [(gain, self.apply(s, made)) for gain, _, _, made in ones]
+        twos = [(x[0] + y[0], self.apply(s, x[3] | y[3])) for x in firm for y in firm if x[2] <= y[1]]
+        out = [w for part in (ranked, twos) for _, w in sorted(part, key=lambda r: (-r[0], r[1]))]
+        return [w for w in dict.fromkeys(out) if w and w != word]
 
     def joins(self, a: str, hyphen: str, b: str) -> bool:
         """Whether the line end between the two parts divides one word."""
@@ -161,11 +192,6 @@ class Editor:
         return x.get("join", 0.0) + y.get("join", 0.0) >= x.get("keep", 0.0) + y.get("keep", 0.0)
 
 
-def one_confusion(word: str) -> list[str]:
-    """What the word would be if one place of it were a misreading; any repair must be among these."""
-    return [word[: m.start()] + true + word[m.end() :] for true, seen in CONFUSIONS for m in re.finditer(re.escape(seen), word)]
-
-
 def pages_of(df: DataFrame, key: str, segments: str, title: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & (F.size(segments) > 0)).select(
         F.col(key).cast("long").alias("k"), F.coalesce(F.col(title), F.lit("")).alias("title"), F.transform(segments, lambda s: F.coalesce(s["text"], F.lit(""))).alias("pages")
@@ -196,35 +222,73 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return pages.select("pages").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def holes(word: str) -> Iterator[tuple[str, str]]:
+    """(before, after) of each way to take up to MIDDLE characters out of a word."""
+    for n in range(MIDDLE + 1):
+        for i in range(len(word) - n + 1):
+            yield word[:i], word[i + n :]
+
+
+def training_pairs(counts: DataFrame, words: dict[str, int], limit: int = TRAIN_PAIRS) -> list[tuple[str, str]]:
+    """(seen, true): aligned pairs of the corpus's words with the given common ones that they may be misread copies of.
+
+    A pair differs in one place, and its true word is RATIO times as common. A way of
+    misreading counts only if it is seen in SUPPORT of the words that have its true characters
+    and in SUPPORT_SHARE of them, since inflections and the like touch few words alike. At most
+    ``limit`` pairs, chosen by their hash, are collected; they are all that the editor learns
+    misreadings from.
+    """
+    if not words:
+        return []
+    keys: dict[tuple[str, str], list[str]] = defaultdict(list)
+    for w in words:
+        for a, b in holes(w):
+            keys[a, b].append(w)
+    handed = counts.sparkSession.sparkContext.broadcast((dict(keys), words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, common = handed.value
+        for batch in batches:
+            out = set()
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for a, b in holes(w):
+                    for t in index.get((a, b), ()):
+                        if t != w and common[t] >= RATIO * n and (place := aligned(w, t)):
+                            out.add((w, t, place[1], place[2]))
+            columns = [list(c) for c in zip(*out, strict=True)] if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["seen", "true", "old", "new"])
+
+    pairs = cut(counts.where(F.length("word") > 2).select("word", "n").mapInArrow(run, "seen string, true string, old string, new string"))
+    ways = pairs.groupBy("old", "new").agg(F.countDistinct("true").alias("words")).where(F.col("words") >= SUPPORT)
+    holding = Counter(x for w in words for x in {w[i : i + n] for n in range(MIDDLE + 1) for i in range(len(w) - n + 1)})
+    table = counts.sparkSession.createDataFrame([*holding.items()], "new string, holding int")  # of a bounded list of words
+    sure = ways.join(F.broadcast(table), "new").where(F.col("words") >= SUPPORT_SHARE * F.col("holding")).select("old", "new")
+    picked = pairs.join(F.broadcast(sure), ["old", "new"]).orderBy(F.xxhash64("seen", "true"), "seen", "true").limit(limit)
+    return [(r["seen"], r["true"]) for r in picked.select("seen", "true").collect()]
+
+
 def misread_words(counts: DataFrame, editor: Editor) -> DataFrame:
-    """(word, fixed) of the words that one repair turns into a word RATIO times as common.
+    """(word, fixed) of the words that the editor turns into a word RATIO times as common.
 
-    What each word may be is joined with the counts of the whole corpus by a shuffle; every
-    word is one row there, so no key is hot.
+    The editor proposes; what it proposes is joined with the counts of the whole corpus by a
+    shuffle, where every word is one row, so no key is hot; the counts only refuse. The best
+    proposal that they leave is the repair.
     """
-    handed = counts.sparkSession.sparkContext.broadcast(editor.w)
+    handed = counts.sparkSession.sparkContext.broadcast(editor)
+    most, longest = counts.where(F.col("n") >= RATIO).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max(F.length("word")), F.lit(0))).first()
 
     def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = handed.value
         for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
-            out = [(w, n, c) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(w) > 1 and not w.isdigit() for c in dict.fromkeys(one_confusion(w))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], names=["word", "n", "maybe"])
+            out = [(w, n, c, i) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(w) > 1 and not w.isdigit() for i, c in enumerate(e.candidates(w))]
+            columns = [list(c) for c in zip(*out, strict=True)] if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int32()), strict=True)], names=["word", "n", "maybe", "rank"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Editor()
-        e.w = handed.value
-        for batch in batches:
-            out = []
-            for w, able in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fixed = next((c for c in e.candidates(w) if c in able), None)
-                if fixed is not None:
-                    out.append((w, fixed))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())], names=["word", "fixed"])
-
-    maybe = counts.select("word", "n").repartition(F.col("word")).mapInArrow(tries, "word string, n bigint, maybe string")
+    # No word is RATIO times as common as one of the others, or nearly as long.
+    maybe = counts.where((F.col("n") * RATIO <= most) & (F.length("word") <= longest + 2 * MIDDLE)).select("word", "n").repartition(F.col("word")).mapInArrow(tries, "word string, n bigint, maybe string, rank int")
     right = counts.where(F.col("n") >= RATIO).select(F.col("word").alias("maybe"), F.col("n").alias("times"))
     # Never broadcast: the planner can't see how many tries a word gives.
-    able = maybe.join(right.hint("merge"), "maybe").where(F.col("times") >= RATIO * F.col("n")).groupBy("word").agg(F.collect_set("maybe").alias("able"))
-    return able.mapInArrow(run, "word string, fixed string")
+    return maybe.join(right.hint("merge"), "maybe").where(F.col("times") >= RATIO * F.col("n")).groupBy("word").agg(F.min_by("maybe", "rank").alias("fixed"))
 
 
 def masked(line: str) -> str:
@@ -388,7 +452,7 @@ def prepared(pages: DataFrame) -> tuple[DataFrame, set[str], DataFrame, Editor,
     """Known words with their counts, those that need no look-up, misread words with their repairs, and the trained editor."""
     counts = cut(word_counts(pages))
     best = counts.where((F.col("n") >= LEAST_COUNT) & F.col("word").rlike(r"^\p{L}{2,}$")).orderBy(F.desc("n"), "word").limit(TRAIN_WORDS).collect()
-    editor = Editor().train([r["word"] for r in best])
+    editor = Editor().train([r["word"] for r in best], training_pairs(counts, {r["word"]: r["n"] for r in best}))
     bad = cut(misread_words(counts, editor))
     known = cut(counts.where(F.col("n") >= LEAST_COUNT).join(bad, "word", "left_anti"))
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -396,6 +460,62 @@ def prepared(pages: DataFrame) -> tuple[DataFrame, set[str], DataFrame, Editor,
     return known, plain, bad, editor, bad.count()
 
 
+def _paragraphs(pages: list[str], faults: list[dict]) -> Iterator[tuple[int, str]]:
+    """(page of the first line, text) of each paragraph of a record, repaired by its faults.
+
+    Furniture goes, divided words are joined, misread words replaced, lines joined by spaces. A
+    blank line ends a paragraph; so does a page whose last line ends a sentence.
+    """
+    gone = {(f["seg_no"], f["line_no"]) for f in faults if f["fault"] in ("header", "page_number")}
+    divided = {(f["seg_no"], f["line_no"]) for f in faults if f["fault"] == "hyphen"}
+    fixes: dict[tuple[int, int], dict[str, str]] = defaultdict(dict)
+    for f in faults:
+        if f["word"] is not None:
+            fixes[f["seg_no"], f["line_no"]][f["word"]] = f["fixed"]
+
+    def repaired(token: str, known: dict[str, str]) -> str:
+        word = core(token)
+        fixed = known.get(word)
+        if fixed is None:
+            return token
+        at = token.lower().find(word)
+        if at < 0:
+            return token
+        old = token[at : at + len(word)]
+        fixed = fixed.upper() if len(old) > 1 and old.isupper() else fixed[:1].upper() + fixed[1:] if old[:1].isupper() else fixed
+        return token[:at] + fixed + token[at + len(word) :]
+
+    tokens: list[str] = []
+    first, carry, known = 0, "", {}  # carry: a word's part before a line end
+    for s, page in enumerate(pages):
+        for i, line in enumerate(page.split("\n")):
+            if (s, i) in gone:
+                continue
+            here = line.split()
+            if not here:
+                if tokens and not carry and any((s, k) not in gone and x.strip() for k, x in enumerate(page.split("\n")[:i])):
+                    yield first, " ".join(tokens)
+                    tokens = []
+                continue
+            if not tokens and not carry:
+                first = s
+            if carry:
+                here[0] = carry + here[0]
+            own = fixes.get((s, i), {})
+            known = {**known, **own} if carry else own
+            carry = ""
+            if (s, i) in divided:
+                carry = here.pop()[:-1]
+            tokens += [repaired(t, known) for t in here]
+        if tokens and not carry and tokens[-1].rstrip("\"'»”’)]")[-1:] in tuple(".!?…:"):
+            yield first, " ".join(tokens)
+            tokens = []
+    if carry:
+        tokens.append(carry)
+    if tokens:
+        yield first, " ".join(tokens)
+
+
 def scan_faults(df: DataFrame, key: str = "extraction_id", segments: str = "segments", title: str = "title") -> DataFrame:
     """(key, seg_no, line_no, fault): header, page_number, hyphen and chars, one row each.
 
@@ -406,3 +526,23 @@ def scan_faults(df: DataFrame, key: str = "extraction_id", segments: str = "segm
     """
     pages = pages_of(df, key, segments, title)
     return line_faults(pages, *prepared(pages)).select(F.col("k").alias(key), "seg_no", "line_no", "fault").distinct()
+
+
+def repaired_paragraphs(df: DataFrame, key: str = "extraction_id", segments: str = "segments", title: str = "title") -> DataFrame:
+    """(key, para_no, seg_no, text): the continuous paragraphs of each record, in order; seg_no is where one begins.
+
+    The faults of scan_faults are taken out: furniture is dropped, divided and misread words are
+    repaired, lines are joined, also over the end of a page. Null rules as in scan_faults; of
+    repeated rows of a key one is read. One record's faults and pages meet in one row.
+    """
+    pages = pages_of(df, key, segments, title)
+    faults = line_faults(pages, *prepared(pages)).distinct().groupBy("k").agg(F.collect_list(F.struct("seg_no", "line_no", "fault", "word", "fixed")).alias("faults"))
+    whole = pages.select("k", "pages").dropDuplicates(["k"]).join(faults, "k", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
+            rows = [(k, n, s, t) for k, p, f in zip(*[c.to_pylist() for c in batch.columns], strict=True) for n, (s, t) in enumerate(_paragraphs(p, f or []))]
+            columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=[key, "para_no", "seg_no", "text"])
+
+    return whole.mapInArrow(run, f"{key} bigint, para_no int, seg_no int, text string")

@@ -87,6 +87,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_faults(table(spark, sf_dir, "extractions").where("status = 'success' and kind in ('pdf', 'image')"))
 
 
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.p07_scans import repaired_paragraphs
+
+    return repaired_paragraphs(table(spark, sf_dir, "extractions").where("status = 'success' and kind in ('pdf', 'image')"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.llm.p08_encode import encode_corpus
 
@@ -128,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_languages": p6_languages,
     "p7_found": p7_found,
+    "p7_repaired": p7_repaired,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
