@@ -16,10 +16,9 @@ from quillmesh.runtime import cut
 
 GRAM, WINDOW = 3, 2  # words hashed together, hashes of which the least is kept: spans of GRAM + WINDOW - 1 equal words always meet
 LEAST = 12  # words of an item that make a leak
-ERRORS = 8  # about one word in so many may be wrong
-LEAST_HITS = 2  # shared fingerprints of a pair that is read; an equal span of 7 words, or two of 4, always gives so many
-RARE = 0.02  # share of the items that may have a gram which still tells items apart
-BROADCAST_ITEMS = 5000  # items whose fingerprints are broadcast; more are joined by a shuffle
+ERRORS = 8  # one word in so many may be wrong, and one in a shorter stretch
+RARE = 0.02  # share of the different item texts that may have a gram which still tells items apart
+BROADCAST_PRINTS, BROADCAST_BYTES = 2_000_000, 1 << 26  # fingerprints of items, and bytes of their texts, that are broadcast; more are joined by a shuffle
 
 
 ENTITY = re.compile(r"&amp;(?=#?\w{1,8};)")
@@ -90,51 +89,54 @@ def prints(df: DataFrame, key: str, text: str, names: tuple[str, str], every: bo
     return rows.mapInArrow(run, f"{names[0]} {kind}, h bigint, {names[1]} int")
 
 
-def stretch(doc: list[str], item: list[str], shift: int, at: int) -> tuple[int, int, int]:
-    """The best stretch through position ``at`` of the item along one diagonal: (first, last, wrong words).
+def spans(equal: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first, last, wrong) of the stretches of a diagonal: from an equal word to an equal word, with no more than the wrong words allowed.
 
-    Grows while at most one word in ERRORS is wrong and ends on equal words.
+    For each number of wrong words and each first word only the longest stretch is given.
     """
-
-    def grow(step: int) -> tuple[int, int]:
-        i, good, wrong, best, best_wrong = at, 0, 0, at, 0
-        score = top = 0
-        while 0 <= i + step < len(item) and 0 <= i + step + shift < len(doc):
-            i += step
-            if item[i] == doc[i + shift]:
-                good, score = good + 1, score + 1
-                if score >= top:
-                    top, best, best_wrong = score, i, wrong
-            else:
-                wrong, score = wrong + 1, score - 2
-                if score < top - 4:
-                    break
-        return best, best_wrong
-
-    (a, x), (b, y) = grow(-1), grow(1)
-    return a, b, x + y
-
-
-def overlap(doc: list[str], item: list[str], hits: list[tuple[int, int]], own: list[int]) -> int:
+    at = np.flatnonzero(equal)
+    if not len(at):
+        return []
+    gaps = at - np.arange(len(at))  # wrong words before each equal one
+    out = []
+    for i in range(len(at)):
+        if i and at[i - 1] == at[i] - 1 and (i == 1 or at[i - 2] != at[i] - 2 or at[i - 1] - at[0] >= 2):
+            continue  # a longer one begins at the word before
+        for wrong in range((at[-1] - at[i] + 1) // ERRORS + 2):
+            j = int(np.searchsorted(gaps, gaps[i] + wrong, "right")) - 1
+            n = int(at[j] - at[i]) + 1
+            used = int(gaps[j] - gaps[i])
+            if used == wrong and used <= max(1, n // ERRORS):
+                out.append((int(at[i]), int(at[j]), used))
+    return out
+
+
+def overlap(doc: list[str], item: list[str], hits: list[tuple[int, int]], own: list[int] | None) -> int:
     """Words of the item that the document holds in the item's order, in one stretch or two.
 
-    own: positions of the item's grams that few other items have; a stretch must hold one,
-    since stock phrases that all items of a suite share show no leak.
+    A stretch lies on one diagonal and holds a hit; at most one word in ERRORS is wrong, in two
+    stretches over both together. own: positions of the item's grams that few other items have,
+    null if it has none. A stretch shorter than LEAST must hold one of them, since stock phrases
+    that all items of a suite share show no leak.
     """
-    spans: list[tuple[int, int, int, int, int]] = []  # first and last in the item, shift, words, wrong words
-    for d, i in sorted(hits):
-        if any(s == d - i and a <= i <= b for a, b, s, *_ in spans):
-            continue
-        a, b, wrong = stretch(doc, item, d - i, i)
-        n = b - a + 1
-        known = any(a <= p <= b - GRAM + 1 and item[p : p + GRAM] == doc[p + d - i : p + d - i + GRAM] for p in own)
-        if n > GRAM and known and wrong <= n // ERRORS + 1:
-            spans.append((a, b, d - i, n, wrong))
-    best = max((n for *_, n, _ in spans), default=0)
-    for a, b, s, n, x in spans:
-        for c, e, z, m, y in spans:
-            if c > a and e > b and c + z > b + s and x + y <= (n + m) // ERRORS:  # the later one starts after the first in the document
-                best = max(best, n + e - max(c, b + 1) + 1)
+    found: list[tuple[int, int, int, int]] = []  # first and last in the item, shift, wrong words
+    for shift in {d - i for d, i in hits}:
+        on = [i for d, i in hits if d - i == shift]
+        lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+        equal = np.fromiter((item[i] == doc[i + shift] for i in range(lo, hi)), bool, hi - lo)
+        good = None if own is None else [p for p in own if lo <= p and p + GRAM <= hi and equal[p - lo : p - lo + GRAM].all()]
+        for a, b, wrong in spans(equal):
+            a, b = a + lo, b + lo
+            n = b - a + 1
+            if n > GRAM and any(a <= i and i + GRAM - 1 <= b for i in on) and (n >= LEAST or good is None or any(a <= p and p + GRAM - 1 <= b for p in good)):
+                found.append((a, b, shift, wrong))
+    best = max((b - a + 1 for a, b, _, _ in found), default=0)
+    for a, b, s, x in found:
+        for c, e, z, y in found:
+            if z != s and c > a and e > b and c + z > b + s:  # the later one starts after the first in the document
+                n = b - a + 1 + e - max(c, b + 1) + 1
+                if n > best and x + y <= max(1, n // ERRORS):
+                    best = n
     return best
 
 
@@ -143,23 +145,27 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
 
     Both sides are fingerprinted alike and joined on the hashes, so every span of GRAM + WINDOW
     - 1 equal words is met; each hit is extended word by word along its diagonal, and one or
-    two stretches in the item's order are counted. Null keys and texts and items of fewer than
-    ``least`` words give no rows; repeated rows count once; very long texts are read whole.
+    two stretches in the item's order are counted. A pair is read from one hit on: of ``least``
+    words, with one in ERRORS wrong and in two stretches, GRAM + WINDOW - 1 always stand together
+    or as much in several places. Null keys and texts and items of fewer than ``least`` words
+    give no rows; repeated rows count once; very long texts are read whole.
     """
     asked = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("item_text")).where("item is not null and item_text is not null").dropDuplicates(["item"])
-    items_n = asked.count()
+    n_texts, size = asked.agg(F.countDistinct("item_text"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()
     theirs = cut(prints(asked, "item", "item_text", ("item", "ipos")))
     grams = cut(prints(asked, "item", "item_text", ("item", "p"), every=True))
-    few = grams.groupBy("h").agg(F.countDistinct("item").alias("n")).where(F.col("n") <= max(2, RARE * items_n))
-    asked = asked.join(grams.join(few, "h").groupBy("item").agg(F.array_sort(F.collect_set("p")).alias("own")), "item")
-    hint = F.broadcast if items_n <= BROADCAST_ITEMS else (lambda df: df)
+    # Copies of one text count once, so that many copies don't make their own words a stock phrase.
+    once = asked.groupBy("item_text").agg(F.min("item").alias("item")).select("item")
+    few = grams.join(once, "item", "left_semi").groupBy("h").agg(F.countDistinct("item").alias("n")).where(F.col("n") <= max(2, RARE * n_texts))
+    asked = asked.join(grams.join(few, "h").groupBy("item").agg(F.array_sort(F.collect_set("p")).alias("own")), "item", "left")
+    hint = F.broadcast if theirs.count() <= BROADCAST_PRINTS else (lambda df: df)
+    text_hint = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
     met = prints(documents, key, text, ("doc", "dpos")).join(hint(theirs), "h")
     # Hits along one diagonal are joined before they travel: a long equal span is one row.
     met = met.groupBy("doc", "item", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.array_sort(F.collect_set("ipos")).alias("at")).groupBy("doc", "item").agg(F.collect_list(F.struct("shift", "at")).alias("hits"))
-    enough = F.aggregate("hits", F.lit(0), lambda n, x: n + F.size(x["at"])) >= LEAST_HITS
-    met = cut(met.where(enough))
+    met = cut(met)
     texts = documents.select(F.col(key).alias("doc"), F.col(text).alias("dt")).where("doc is not null and dt is not null").join(met.select("doc").distinct(), "doc", "left_semi")
-    pairs = met.join(texts, "doc").join(hint(asked.select("item", "own", "item_text")), "item")
+    pairs = met.join(texts, "doc").join(text_hint(asked.select("item", "own", "item_text")), "item")
     kinds = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -244,6 +244,19 @@ def test_leaks(spark):
     assert p09_leaks.leaked(df.limit(0), items).count() == 0 and p09_leaks.leaked(df, items.limit(0)).count() == 0
 
 
+def test_leaks_of_items_in_many_copies_and_with_wrong_words(spark):
+    rng = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    items = [[rng.choice(vocabulary) for _ in range(30)] for _ in range(60)]
+    table = [(i, " ".join(ws)) for i, ws in enumerate(items)] + [(100 + i, " ".join(items[0])) for i in range(60)]  # half of all items are one text
+    wrong = lambda ws, *places: ["x" if i in places else w for i, w in enumerate(ws)]
+    docs = [(1, items[0][:12], True), (2, wrong(items[1][:12], 10), True), (3, wrong(items[2][:12], 5), True), (4, items[3][:11], False), (5, wrong(items[4][:12], 3, 8), False)]
+    docs += [(6, wrong(items[5][:8], 6) + ["between"] * 5 + items[5][15:23], True), (7, items[6][15:23] + ["between"] * 5 + items[6][:8], False), (8, wrong(items[7][:16], 5, 9), True), (9, items[8][:6] + ["y"] * 4 + items[8][20:26], True)]
+    df = spark.createDataFrame([(k, " ".join(["before", *ws, "after"])) for k, ws, _ in docs], "doc_id long, text string")
+    got = {(r.doc_id, r.item_no) for r in p09_leaks.leaked(df, spark.createDataFrame(table, "item_no long, text string")).collect()}
+    assert got == {(k, k - 1) for k, _, leak in docs if leak} | {(1, 100 + i) for i in range(60)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 50])
 def test_winnowing_guarantee(n):
     h = np.random.default_rng(n).integers(0, 9, n)
