@@ -264,6 +264,17 @@ def test_winnowing_guarantee(n):
     assert all(chosen & set(range(i, i + p09_leaks.WINDOW)) for i in range(n - p09_leaks.WINDOW + 1)) and (n == 0 or chosen)
 
 
+def test_prefixes_equal_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abä") for _ in range(rng.randrange(1, 9)))
+    known, tails = {word() for _ in range(300)}, {word() for _ in range(300)}
+    frame = lambda x: spark.createDataFrame([(w,) for w in sorted(x)], "bare string").repartition(7)
+    want = {(t, t in known, any(k != t and k.startswith(t) for k in known)) for t in tails}
+    assert {tuple(r) for r in p10_cut.prefixes(frame(tails), frame(known)).collect()} == want
+    for a, b in ((tails, set()), (set(), known), ({"zz"}, known), ({"0"}, known)):
+        assert {tuple(r) for r in p10_cut.prefixes(frame(a), frame(b)).collect()} == {(t, t in b, any(k != t and k.startswith(t) for k in b)) for t in a}
+
+
 def test_cut_texts(spark):
     whole = ["The colour is lovely and the lid is easy to clean.", "Delivery took 5 days because of the holidays.", "I would buy this kettle again without a second thought."]
     docs = [(i, " ".join(whole), "csv" if i % 2 else None, "Very happy") for i in range(20)]
