@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import trimmed
+from quillmesh.functions.text import bind, trimmed
 
 GAP_MS = 1500
 STAMP = r"(?:(\d{1,2}):)?(\d{1,2}):(\d{2})[.,](\d{3})"
@@ -36,14 +36,26 @@ def parsed_cues(vtt: Column) -> Column:
 
 
 def merged_cues(segments: Column) -> Column:
-    """Neighbours of equal text joined: first start, last end."""
+    """Neighbours of equal text joined: first start, last end. Starts and ends of runs are found by place, in one pass each."""
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start_ms"].alias("start_ms"), s["end_ms"].alias("end_ms"), s["text"].alias("text"))))
-        return F.when(last["text"] == s["text"], joined).otherwise(F.concat(acc, F.array(s)))
+    def merged(all_: Column) -> Column:
+        text = lambda i: F.get(all_, i)["text"]
+        place = F.transform(all_, lambda s, i: i)
+        starts = F.filter(place, lambda i: (i == 0) | ~text(i - 1).eqNullSafe(text(i)))
+        ends = F.filter(place, lambda i: (i == F.size(all_) - 1) | ~text(i + 1).eqNullSafe(text(i)))
+        return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.struct(F.get(all_, r["a"])["start_ms"].alias("start_ms"), F.get(all_, r["b"])["end_ms"].alias("end_ms"), text(r["a"]).alias("text")))
 
-    return F.aggregate(segments, F.array().cast(SEGMENT), step)
+    return bind(segments, merged).cast(SEGMENT)
+
+
+def paragraph_text(segments: Column, gap_ms: int = GAP_MS) -> Column:
+    """The cues' texts in paragraphs: a blank line where the pause exceeds gap_ms, else a space."""
+
+    def said(all_: Column) -> Column:
+        pause = lambda s, i: F.when(i == 0, "").when(s["start_ms"] - F.get(all_, i - 1)["end_ms"] > gap_ms, "\n\n").otherwise(" ")
+        return F.array_join(F.transform(all_, lambda s, i: F.concat(pause(s, i), s["text"])), "")
+
+    return bind(segments, said)
 
 
 def merged_rows(df: DataFrame, key: str, order: str, text: str, start: str, end: str) -> DataFrame:

@@ -23,6 +23,15 @@ def grid(rows: Column) -> Column:
     return F.when(F.coalesce(last, F.lit(0)) == 0, "").otherwise(F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, 2, 1 << 30)), "\n"))
 
 
+def rows_grid(rows: list[list[str | None]]) -> str:
+    """As grid, for rows that are read inside a worker."""
+    cells = [[(c or "").replace("|", r"\|").replace("\n", " ").strip() for c in r] for r in rows]
+    full = [i for i, r in enumerate(cells) if any(r)]
+    wide = max((j + 1 for r in cells for j, c in enumerate(r) if c), default=0)
+    lines = ["| " + " | ".join((r + [""] * wide)[:wide]) + " |" for r in cells[: full[-1] + 1]] if full else []
+    return "\n".join([*lines[:1], "| " + " | ".join(["---"] * wide) + " |", *lines[1:]]) if lines else ""
+
+
 def html_grid(html: Column) -> Column:
     """An HTML table of at least two rows and columns as a grid with caption, else null.
 

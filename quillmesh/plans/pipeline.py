@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
 
@@ -13,7 +14,9 @@ from quillmesh.operators import captions, detect, html, identity, sinks
 from quillmesh.operators.files import assembled, extracted_file
 from quillmesh.runtime import once
 
-RESULT = ("raw", "kind", "slug", "status", "title", "author", "duration_ms", "language", "text", "extractor", "error", "exit_code")
+RESULT = ("raw", "kind", "slug", "status", "title", "author", "duration_ms", "language", "text", "extractor", "error", "exit_code", "segments", "detail")
+SEGMENTS = "array<struct<start_ms:bigint,end_ms:bigint,text:string>>"
+DETAIL = "struct<extractor:string,structured:boolean,ext:string,caption_lang:string,caption_source:string,locators:array<struct<segment:int,page:int,sheet:string,slide:int>>>"
 
 
 @runtime_checkable
@@ -31,7 +34,7 @@ class Provider(Protocol):
 
 def _result(df: DataFrame, **columns: Column) -> DataFrame:
     """A frame of RESULT's columns; what a kind doesn't know is null."""
-    kinds = {"duration_ms": "bigint", "exit_code": "int"}
+    kinds = {"duration_ms": "bigint", "exit_code": "int", "segments": SEGMENTS, "detail": DETAIL}
     return df.select("raw", "kind", "slug", *[columns.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in RESULT[3:]])
 
 
@@ -60,7 +63,7 @@ def pages(df: DataFrame) -> DataFrame:
     wall = F.coalesce(detect.is_login_wall(text), F.lit(False))
     ok = text.isNotNull() & ~wall
     return _result(
-        md, status=F.when(ok, "success").otherwise("failed"), title=F.when(ok, identity.page_title(text, F.col("slug"))).otherwise(""), text=F.when(ok, text).otherwise(""), extractor=F.when(ok, "html2md"),
+        md, status=F.when(ok, "success").otherwise("failed"), title=F.when(ok, identity.page_title(text, F.col("slug"))).otherwise(""), text=F.when(ok, text).otherwise(""), extractor=F.when(ok, "html2md"), detail=detail(F.when(ok, "html2md"), structured=F.lit(True)),
         error=F.when(wall, "login wall").when(text.isNull(), "page has no content"), exit_code=F.when(ok, 0).when(wall, detect.EXIT["not_authenticated"]).otherwise(detect.EXIT["primary_failed"]),
     )
 
@@ -70,30 +73,52 @@ def texts(df: DataFrame) -> DataFrame:
     text = F.col("text")
     ok = F.coalesce(trimmed(text) != "", F.lit(False))
     return _result(
-        df, status=F.when(ok, "success").otherwise("failed"), title=F.when(ok, identity.text_title(text, F.col("slug"))).otherwise(""), text=F.when(ok, text).otherwise(""), extractor=F.when(ok, "text"),
+        df, status=F.when(ok, "success").otherwise("failed"), title=F.when(ok, identity.text_title(text, F.col("slug"))).otherwise(""), text=F.when(ok, text).otherwise(""), extractor=F.when(ok, "text"), detail=detail(F.when(ok, "text"), structured=F.lit(True), ext=detect.suffix(F.col("raw"), detect.TEXTS)),
         error=F.when(text.isNull(), "file not found").when(~ok, "empty file"), exit_code=F.when(ok, 0).when(text.isNull(), detect.EXIT["primary_failed"]).otherwise(detect.EXIT["exhausted"]),
     )
 
 
-def files(df: DataFrame) -> DataFrame:
-    """Rows with content: by the file engines."""
+def detail(extractor: Column, **known: Column) -> Column:
+    """How a result was made, as DETAIL; what isn't known is null."""
+    kinds = {n: t for n, t in re.findall(r"(\w+):(string|boolean|array<struct<[^<>]*>>)", DETAIL[7:-1])}
+    return F.when(extractor.isNotNull(), F.struct(*[known.get(n, extractor if n == "extractor" else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()]))
+
+
+def files(df: DataFrame, engines: dict | None = None) -> DataFrame:
+    """Rows with content: by the file engines, with the pages, slides or sheets as segments."""
     ext = F.coalesce(detect.suffix(F.col("raw"), detect.DOCS), detect.suffix(F.col("raw"), detect.IMAGES), F.when(F.col("kind") == "pdf", "pdf"))
-    read = df.select("raw", "kind", "slug", F.col("slug").alias("stem"), extracted_file("content", ext).alias("file"))
+    read = df.select("raw", "kind", "slug", F.col("slug").alias("stem"), ext.alias("ext"), extracted_file("content", ext, engines).alias("file"))
     done = assembled(read)
-    return _result(done, status=F.col("status"), title=F.col("title"), author=F.col("author"), text=F.col("text"), extractor=F.col("extractor.extractor"), error=F.col("error"), exit_code=F.col("exit_code"))
+    title = F.when((F.col("kind") == "image") & (F.col("status") == "success"), identity.scan_title(F.col("text"), F.col("title"))).otherwise(F.col("title"))
+    made = detail(F.col("extractor.extractor"), structured=F.col("extractor.structured"), ext=F.col("ext"), locators=F.col("extractor.locators"))
+    return _result(
+        done, status=F.col("status"), title=title, author=F.col("author"), text=F.col("text"), extractor=F.col("extractor.extractor"), error=F.col("error"), exit_code=F.col("exit_code"), segments=F.col("segments"), detail=made,
+    )
 
 
 def videos(df: DataFrame) -> DataFrame:
-    """Rows with vtt and optionally transcript, title, duration_s: captions first, else the transcript."""
-    cues = captions.merged_cues(captions.parsed_cues(F.col("vtt")))
-    gap = lambda s, i, all_: F.when((i > 0) & (s["start_ms"] - F.get(all_, i - 1)["end_ms"] > captions.GAP_MS), "\n\n").when(i > 0, " ").otherwise("")
-    body = F.array_join(F.transform(F.col("__cues"), lambda s, i: F.concat(gap(s, i, F.col("__cues")), s["text"])), "")
-    timed = df.withColumn("__cues", cues).withColumn("__body", blank_to_null(body))
-    text = F.coalesce("__body", blank_to_null(F.col("transcript")))
+    """Rows with vtt, transcript, track info or an error, optionally title and duration_s.
+
+    Captions come first: paragraphs by pauses, cues as segments. Else the transcript, sliced
+    over the duration. A message that speaks of a restricted video gives 40, one of a missing
+    sign-in 21; a video without either text fails with 20. A known title also names the slug.
+    """
+    timed = once(df, __cues=captions.merged_cues(captions.parsed_cues(F.col("vtt"))))
+    timed = once(timed, __body=blank_to_null(captions.paragraph_text(F.col("__cues"))), __said=blank_to_null(F.col("transcript")))
+    text = F.coalesce("__body", "__said")
     ok = text.isNotNull()
+    ms = captions.whole_ms(F.col("duration_s"))
+    cues, slices = F.col("__cues"), F.coalesce(captions.transcript_slices(F.col("__said"), ms), F.array(F.struct(F.lit(0).cast("bigint").alias("start_ms"), F.lit(0).cast("bigint").alias("end_ms"), F.col("__said").alias("text"))))
+    told = F.col("error")
+    code = F.when(told.isNotNull() & (captions.restriction_exit(told) == 40), 40).when(told.rlike("(?i)not authenticated|login required|log in"), detect.EXIT["not_authenticated"]).otherwise(detect.EXIT["fallback_failed"])
+    slug = F.coalesce(F.nullif(identity.slug(F.col("title")), F.lit("")), F.col("slug"))
+    made = F.when(F.col("__body").isNotNull(), "captions").when(ok, "transcript")
+    by_captions = F.col("__body").isNotNull()
+    lang = F.when(by_captions, F.col("caption_lang"))
     return _result(
-        timed, status=F.when(ok, "success").otherwise("failed"), title=F.coalesce("title", F.col("slug")), text=F.coalesce(text, F.lit("")), duration_ms=captions.whole_ms(F.col("duration_s")),
-        extractor=F.when(F.col("__body").isNotNull(), "captions").when(ok, "transcript"), error=F.when(~ok, "no captions and no transcript"), exit_code=F.when(ok, 0).otherwise(detect.EXIT["fallback_failed"]),
+        timed.withColumn("slug", slug), status=F.when(ok, "success").otherwise("failed"), title=F.coalesce("title", F.col("slug")), text=F.coalesce(text, F.lit("")), duration_ms=ms, language=lang,
+        extractor=made, error=F.when(~ok, F.coalesce(told, F.lit("no captions and no transcript"))), exit_code=F.when(ok, 0).otherwise(code), segments=F.when(by_captions, cues).when(ok, slices),
+        detail=detail(made, structured=by_captions, caption_lang=lang, caption_source=F.when(by_captions, F.col("caption_source"))),
     )
 
 
@@ -116,18 +141,20 @@ class Registry:
         return detect.kind(raw, {p.kind: p.matches for p in self._all})
 
 
-def default_registry() -> Registry:
-    return Registry([Kind("youtube", videos), Kind("pdf", files), Kind("docs", files), Kind("text", texts), Kind("image", files), Kind("html", pages)])
+def default_registry(engines: dict | None = None) -> Registry:
+    """The kinds in their order; ``engines`` by suffix are used instead of the registered ones."""
+    read = lambda df: files(df, engines)
+    return Registry([Kind("youtube", videos), Kind("pdf", read), Kind("docs", read), Kind("text", texts), Kind("image", read), Kind("html", pages)])
 
 
 class Engine:
     """Runs a frame of sources through detection, cache and the providers."""
 
     #: what a source row may bring along, by kind
-    INPUTS = {"html": "string", "text": "string", "content": "binary", "vtt": "string", "transcript": "string", "title": "string", "duration_s": "double"}
+    INPUTS = {"html": "string", "text": "string", "content": "binary", "vtt": "string", "transcript": "string", "title": "string", "duration_s": "double", "caption_lang": "string", "caption_source": "string", "error": "string"}
 
-    def __init__(self, registry: Registry | None = None):
-        self.registry = registry or default_registry()
+    def __init__(self, registry: Registry | None = None, engines: dict | None = None):
+        self.registry = registry or default_registry(engines)
 
     def detect(self, sources: DataFrame) -> DataFrame:
         raw = F.col("raw")

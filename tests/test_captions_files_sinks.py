@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators import captions, files, sinks, social
 from quillmesh.operators.files import extract_bytes
+from quillmesh.plans.pipeline import Engine
 from quillmesh.runtime import blocked_last
 
 
@@ -46,12 +47,40 @@ def test_zip_formats():
     assert [u["text"] for u in got["units"]] == ["s1", "s2", "s10"] and got["title"] == "T"
     xlsx = archive({"xl/workbook.xml": '<w><sheets><sheet name="One"/></sheets></w>', "xl/sharedStrings.xml": "<s><si><t>hi</t></si></s>", "xl/worksheets/sheet1.xml": '<w><c t="s"><v>0</v></c><c><v>5</v></c></w>', "xl/worksheets/sheet2.xml": "<w><c><is><t>in</t></is></c></w>"})
     got = extract_bytes(xlsx, "xlsx")
-    assert [(u["label"], u["text"]) for u in got["units"]] == [("One", "hi\n5"), ("Sheet2", "in")]
+    assert [(u["label"], u["text"]) for u in got["units"]] == [("One", "| hi | 5 |\n| --- | --- |"), ("Sheet2", "| in |\n| --- |")] and got["text"].startswith("## One\n\n| hi")
     assert extract_bytes(archive({"word/document.xml": slide("w")}), "docx")["text"] == "w"
     assert extract_bytes(archive({"b.xhtml": "<p>two</p>", "a.html": "<p>one  x</p>", "META-INF/c.html": "no"}), "epub")["text"] == "one x\n\ntwo"
     assert extract_bytes(b"junk", "docx")["error"] and extract_bytes(None, "pdf")["error"] and extract_bytes(b"%PDF", "pdf")["error"]
 
 
+def test_office_structure():
+    w = "xmlns:w='w'"
+    p = lambda t, st="": f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{st}{chr(34)}/></w:pPr>' if st else ''}<w:r><w:t>{t}</w:t></w:r></w:p>"
+    row = lambda *cells: "<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in cells) + "</w:tr>"
+    body = p("Name", "Title") + p("Part", "h2") + p("plain") + p("  ") + "<w:tbl>" + row("a", "b|c") + row("1", "") + "</w:tbl>" + p("end")
+    docx = archive({"word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>", "word/styles.xml": f"<w:styles {w}><w:style w:styleId='h2'><w:name w:val='heading 2'/></w:style></w:styles>"})
+    got = extract_bytes(docx, "docx")
+    assert got["text"] == "# Name\n\n## Part\n\nplain\n\n| a | b\\|c |\n| --- | --- |\n| 1 |  |\n\nend" and got["tier"] == "ooxml" and got["units"] is None
+    frame = "<a:graphicFrame><a:tbl><a:tr><a:tc><a:p><a:t>x</a:t></a:p></a:tc><a:tc><a:p><a:t>y</a:t></a:p></a:tc></a:tr></a:tbl></a:graphicFrame>"
+    slide = f"<a:sld xmlns:a='a'><a:sp><a:txBody><a:p><a:t>one</a:t></a:p><a:p><a:t>two</a:t></a:p></a:txBody></a:sp>{frame}</a:sld>"
+    got = extract_bytes(archive({"ppt/slides/slide1.xml": slide, "ppt/slides/slide2.xml": "<a:sld xmlns:a='a'/>"}), "pptx")
+    assert got["text"] == "## Slide 1\n\none\ntwo\n\n| x | y |\n| --- | --- |\n\n## Slide 2" and [u["label"] for u in got["units"]] == ["1", "2"]
+    sheet = "<w><row><c r='A1' t='b'><v>1</v></c><c r='C1'><v>2.5</v></c></row><row><c r='B2'><v>3</v></c></row></w>"
+    assert extract_bytes(archive({"xl/worksheets/sheet1.xml": sheet}), "xlsx")["text"] == "## Sheet1\n\n| True |  | 2.5 |\n| --- | --- | --- |\n|  | 3 |  |"
+    assert extract_bytes(archive({"xl/worksheets/sheet1.xml": "<w/>"}), "xlsx")["text"] == ""
+
+
+def test_engines_travel_to_workers(spark):
+    chunks = [{"text": " first ", "metadata": {"page_number": 5}}, {"text": "next", "metadata": {"page": 6}}, {"text": "", "metadata": {}}]
+    broken = lambda data: 1 / len(data[:0])
+    engines = {"pdf": [lambda data: None, lambda data: {"chunks": chunks, "tier": "pymupdf4llm", "title": "T"}], "png": [lambda data: {"text": "a line\nends here.\nNext", "tier": "ocr", "wrapped": True}], "jpg": [broken]}
+    df = spark.createDataFrame([("a.pdf", bytearray(b"x")), ("b.png", bytearray(b"x")), ("c.jpg", bytearray(b"x")), ("d.pdf", None)], "raw string, content binary")
+    got = {r.raw: r for r in Engine(engines=engines).run(df).collect()}
+    assert got["a.pdf"].text == "first\n\nnext\n\n" and [s.text for s in got["a.pdf"].segments] == [" first ".strip(), "next"] and [x.page for x in got["a.pdf"].detail.locators] == [5, 7] and got["a.pdf"].detail.structured
+    assert got["b.png"].text == "a line ends here.\nNext" and not got["b.png"].detail.structured
+    assert got["c.jpg"].exit_code == 10 and "ZeroDivisionError" in got["c.jpg"].error and got["d.pdf"].error == "file not found"
+
+
 def test_assembled(spark):
     data = archive({"ppt/slides/slide1.xml": "<p><t>x</t></p>", "ppt/slides/slide2.xml": "<p/>"})
     df = spark.createDataFrame([("a", "st", bytearray(data), "pptx"), ("b", "st", bytearray(b""), "md"), ("c", "st", bytearray(b"?"), "docx")], "raw string, stem string, content binary, ext string")

@@ -24,6 +24,16 @@ def test_engine(spark):
     assert isinstance(Kind("html", None), Provider)
 
 
+def test_videos(spark):
+    vtt = "WEBVTT\n\n00:00:00.000 --> 00:00:01.000\none\n\n00:00:01.000 --> 00:00:02.000\none\n\n00:00:04.000 --> 00:00:05.000\ntwo\n"
+    url = "https://youtu.be/abcdefgh10"
+    rows = [(f"{url}1", vtt, None, "My Talk", 5.0, None, "en", "uploader"), (f"{url}2", None, "a\n\nb", None, 10.0, None, None, None), (f"{url}3", None, None, None, None, "This video is private", None, None), (f"{url}4", None, None, None, None, "not authenticated", None, None), (f"{url}5", None, None, None, None, None, None, None)]
+    got = {r.raw[-1]: r for r in Engine().run(spark.createDataFrame(rows, "raw string, vtt string, transcript string, title string, duration_s double, error string, caption_lang string, caption_source string")).collect()}
+    assert got["1"].text == "one\n\ntwo" and [(s.start_ms, s.end_ms) for s in got["1"].segments] == [(0, 2000), (4000, 5000)] and got["1"].slug == "my-talk" and got["1"].detail.caption_source == "uploader"
+    assert [(s.start_ms, s.end_ms, s.text) for s in got["2"].segments] == [(0, 5000, "a"), (5000, 10000, "b")] and got["2"].extractor == "transcript"
+    assert [got[k].exit_code for k in "12345"] == [0, 0, 40, 21, 20]
+
+
 def test_flagship_takes_every_source(spark):
     data = "/root/testdata/sf0.001"
     got = catalog.QUERIES["flagship"](spark, data)
