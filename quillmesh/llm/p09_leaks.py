@@ -111,24 +111,31 @@ def spans(equal: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def overlap(doc: list[str], item: list[str], hits: list[tuple[int, int]], own: list[int] | None) -> int:
+def overlap(doc: list[str], item: list[str], hits: list[tuple[int, int]], own: list[int] | None, least: int = LEAST) -> int:
     """Words of the item that the document holds in the item's order, in one stretch or two.
 
     A stretch lies on one diagonal and holds a hit; at most one word in ERRORS is wrong, in two
     stretches over both together. own: positions of the item's grams that few other items have,
-    null if it has none. A stretch shorter than LEAST must hold one of them, since stock phrases
+    null if it has none. A stretch shorter than ``least`` must hold one of them, since stock phrases
     that all items of a suite share show no leak.
     """
-    found: list[tuple[int, int, int, int]] = []  # first and last in the item, shift, wrong words
+    lines, right = [], 0  # diagonals with their equal words
     for shift in {d - i for d, i in hits}:
-        on = [i for d, i in hits if d - i == shift]
         lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-        equal = np.fromiter((item[i] == doc[i + shift] for i in range(lo, hi)), bool, hi - lo)
+        equal = [x == y for x, y in zip(item[lo:hi], doc[lo + shift : hi + shift], strict=True)]
+        lines.append((shift, lo, hi, equal))
+        right += sum(equal)
+    if right < least - max(1, least // ERRORS):  # no leak, whatever the stretches
+        return 0
+    found: list[tuple[int, int, int, int]] = []  # first and last in the item, shift, wrong words
+    for shift, lo, hi, flags in lines:
+        on = [i for d, i in hits if d - i == shift]
+        equal = np.array(flags, bool)
         good = None if own is None else [p for p in own if lo <= p and p + GRAM <= hi and equal[p - lo : p - lo + GRAM].all()]
         for a, b, wrong in spans(equal):
             a, b = a + lo, b + lo
             n = b - a + 1
-            if n > GRAM and any(a <= i and i + GRAM - 1 <= b for i in on) and (n >= LEAST or good is None or any(a <= p and p + GRAM - 1 <= b for p in good)):
+            if n > GRAM and any(a <= i and i + GRAM - 1 <= b for i in on) and (n >= least or good is None or any(a <= p and p + GRAM - 1 <= b for p in good)):
                 found.append((a, b, shift, wrong))
     best = max((b - a + 1 for a, b, _, _ in found), default=0)
     for a, b, s, x in found:
@@ -169,14 +176,15 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     kinds = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, dw, items_words = None, [], {}
-        for batch in batches:
-            out = defaultdict(list)
+        items_words: dict[str, list[str]] = {}
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+            out, docs_words = defaultdict(list), {}
             for doc, item, hits, dt, it, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if doc != at:
-                    at, dw = doc, words(dt)
+                dw = docs_words.get(doc)
+                if dw is None:
+                    dw = docs_words[doc] = words(dt)
                 iw = items_words.get(it) or items_words.setdefault(it, words(it))
-                n = overlap(dw, iw, [(h["shift"] + i, i) for h in hits for i in h["at"]], own)
+                n = overlap(dw, iw, [(h["shift"] + i, i) for h in hits for i in h["at"]], own, least)
                 if n >= least:
                     for name, v in (("doc", doc), ("item", item), ("n", n)):
                         out[name].append(v)
