@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.p05_main import PROSE, any_in, automaton, shape
+from quillmesh.llm.p05_main import LINK, MARKER, MEMO, SENTENCE_END, SHORT_WORDS
+from quillmesh.llm.p05_main import WORD as NAME_WORD
 from quillmesh.runtime import cut
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -39,40 +41,98 @@ LATIN = frozenset(
     "duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
     "sagittis viverra porta sodales placerat fermentum integer rutrum augue semper cursus felis donec ligula nullam mauris pretium nisl quisque egestas vitae aliquam".split()
 )
-FILLER = re.compile(
-    r"\b(?:sample|placeholder|dummy|filler|example) text\b|\btext goes here\b|\b(?:content|text) coming soon\b|\breplace (?:it|this)\b.*\bown\b|\bonly here to show the layout\b"
-    r"|platzhaltertext|blindtext|beispieltext|fülltext|durch eigene inhalte|hier steht später|ihr text hier|votre texte ici|texte (?:d'exemple|factice|de remplissage)|faux texte|remplacez-le"
-    r"|texto de (?:ejemplo|exemplo|relleno|prueba|preenchimento|muestra)|su texto aquí|seu texto aqui|sustit[uú]y[ae]lo|reempl[aá]celo|troque pelo seu|voorbeeldtekst|opvultekst|uw tekst hier|hier komt uw tekst|vervang (?:deze|dit|hem)\b"
-    r"|пример текста|замените его|текст[- ]заполнитель|ваш текст здесь|здесь будет (?:ваш )?текст",
+# Lines that are residue beyond doubt, from which labels spread.
+NOTICES = (
+    "404 – Page not found. The address you requested does not exist on this server.", "This page is no longer available. It may have been moved or deleted.", "Access denied. You do not have permission to view this resource.",
+    "Please enable JavaScript to continue using this application.", "Your browser does not run scripts, so nothing can be shown.", "The service is temporarily unavailable for maintenance.", "Something went wrong on our end. Please try again in 5 minutes.",
+    "404 – Seite nicht gefunden. Die angeforderte Adresse gibt es auf diesem Server nicht.", "Zugriff verweigert. Sie haben keine Berechtigung für diese Seite.", "Bitte aktivieren Sie JavaScript, um diese Seite zu nutzen.", "Ihr Browser führt keine Skripte aus, daher kann hier nichts angezeigt werden.",
+    "Erreur 404 : la page demandée est introuvable sur ce serveur.", "Accès refusé. Vous n'avez pas le droit de consulter cette page.", "404 – Pagina niet gevonden. Het gevraagde adres bestaat niet op deze server.", "Zet JavaScript aan om deze pagina te gebruiken.", "Ative o JavaScript para usar esta página.",
+)
+FILLERS = ("This is sample text. Replace it with your own content.", "Text goes here.", "Content coming soon.", "Este é um texto de exemplo. Troque pelo seu conteúdo.")
+# Titles that pages take for a notice, not for content.
+NOTICE_TITLE = re.compile(r"\W*(?:error|just a moment|access denied|forbidden|not found|page not found|attention required|service unavailable|bad gateway|gateway timeout|[45]\d\d)(?:\W+\d{3})?\W*", re.I)
+
+# Stems of consent, newsletter, advertising, sharing and comment lines, by language.
+CONSENT = re.compile(
+    r"\b(?:use|uses|using|store|stores|verwenden|nutzen|speichern|utilisons|utilizamos|usamos|gebruiken|используем)\b[^.!?]{0,40}\b(?:cookies?|small files|kleine dateien)"
+    r"|\b(?:cookies|files|dateien|fichiers|archivos|arquivos|ficheiros|bestanden|файлы|cookie)\b[^.!?]{0,12}\b(?:are (?:needed|necessary)|sind (?:notwendig|nötig)|sont nécessaires|son necesari[ao]s|são necessários|zijn noodzakelijk|необходимы)"
+    r"|\bby continuing\b|mit der weiteren nutzung|durch die weitere nutzung|\ben poursuivant\b|si contin[uú]a navegando|\bao continuar\b|als u verder|\bпродолжая\b"
+    r"|\b(?:change|withdraw) your (?:choice|consent|settings)|ihre auswahl jederzeit|modifier votre choix|cambiar su elección|(?:alterar|mudar) a sua (?:escolha|opção)|uw keuze\b|изменить (?:свой )?выбор"
+    r"|\bour partners may use|unsere partner\b|nos partenaires|nuestros socios|nossos parceiros|onze partners|наши партн[её]ры"
+    r"|\b(?:cookie|privacy) policy\b|stores small files",
+    re.I,
+)
+INSERT = re.compile(
+    r"^\W*(?:advertisement|sponsored|anzeige|werbung|publicité|publicidade?|anuncio|anúncio|advertentie|реклама)\W*$"
+    r"|\b(?:subscribe|sign up|abonnieren|bestellen|melden sie sich|abonnez|inscrivez|suscríbase|suscríbete|assine|inscreva|meld u aan|schrijf u in|подпишитесь)\b.*\b(?:newsletter|lettre d'information|infolettre|boletín|boletim|nieuwsbrief|рассылк\w*)"
+    r"|^\W*(?:share|teilen|partager|compartir|compartilhar|delen|поделиться)\b.{0,30}[:·]"
+    r"|^\W*\d+ (?:comments?|kommentare?|commentaires?|comentarios?|comentários?|reacties?|комментари\w*)\b"
+    r"|^\W*(?:estimated reading time|reading time|lesezeit|temps de lecture|tiempo de lectura|tempo de leitura|leestijd|время чтения)\b"
+    r"|^\W*(?:tags|schlagwörter|étiquettes|etiquetas|trefwoorden|метки|теги)\s*:"
+    r"|^\W*rate this article|^\W*follow us on|^\W*(?:back to top|nach oben|haut de page|volver arriba|voltar ao topo|naar boven|наверх)\W*$"
+    r"|\b(?:all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|todos os direitos reservados|alle rechten voorbehouden|все права защищены)"
+    r"|^\W*(?:©|copyright\b)|\b(?:may be reused without permission|made with care by)\b",
     re.I,
 )
-NOTICE = re.compile(
-    r"\b(?:page|site|file|resource|address) (?:was |is |could )?(?:not|no longer|be) (?:be )?(?:found|available|exist)|page not found|\bdoes not exist on this server|(?:moved or deleted)|nicht gefunden|gibt es auf diesem server nicht|introuvable|n'existe pas|no se ha encontrado|no encontrada|não (?:foi )?encontrada|niet gevonden|не найден"
-    r"|\b(?:enable|activate|turn on|aktivieren|activez|active|habilite|ative|ativar|activer|zet|schakel|включите)\b[^.]{0,40}\b(?:javascript|scripts?)\b|\bjavascript\b[^.]{0,40}\b(?:required|enabled|disabled|erforderlich|requis|aan|aktivieren|deaktiviert)\b"
-    r"|\b(?:does not run|führt keine|n'exécute pas|no ejecuta|não executa|voert geen|не выполняет)\b[^.]{0,30}\b(?:scripts?|skripte|сценари|скрипт)"
-    r"|temporarily unavailable|vorübergehend nicht|momentanément indisponible|temporairement indisponible|no está disponible|não está disponível|tijdelijk niet|временно недоступ|maintenance\.|wegen wartung|por mantenimiento|por causa de manutenção|vanwege onderhoud"
-    r"|access denied|\bforbidden\b|zugriff verweigert|accès refusé|acceso denegado|acesso negado|toegang geweigerd|доступ (?:запрещ|закрыт|ограничен)|\b(?:you do not have|no) permission\b|keine berechtigung|no tiene permiso|não tem permissão|geen toestemming|нет (?:прав|доступа)"
-    r"|\btimed? ?out\b|zeitüberschreitung|délai (?:dépassé|d'attente)|tiempo de espera|tempo (?:de espera )?esgotado|verlopen|истекло|\bgateway\b|upstream|internal server error|\bsomething went wrong\b|etwas ist schiefgelaufen|une erreur (?:est survenue|s'est produite)|algo salió mal|algo deu errado|er ging iets mis|что-то пошло не так"
-    r"|checking your browser|verify (?:that )?you are|not a robot|captcha|too many requests|unusual traffic|please try again|erreur \d{3}|error \d{3}|erro \d{3}|fehler \d{3}|fout \d{3}|ошибка \d{3}",
+TEASER = re.compile(
+    r"^\W*(?:related articles?|more from this section|most read(?: this week)?|you may also like|read (?:also|more|next)|ähnliche beiträge|das könnte sie auch interessieren|mehr aus (?:dieser|diesem)|lesen sie auch|meistgelesen|"
+    r"articles liés|à lire aussi|lire aussi|les plus lus|vous aimerez aussi|artículos relacionados|también le puede interesar|lea también|lo más leído|más leídas?|leia também|mais lid[ao]s|artigos relacionados|veja também|"
+    r"lees ook|meest gelezen|gerelateerde artikelen|meer uit deze|читайте также|самое популярное|похожие статьи|ещё из раздела)\b",
     re.I,
 )
 
-# One of these stands in every line that NOTICE or FILLER can match.
-NOTICE_STEMS = automaton(
-    (
-        "not found", "no longer", "does not exist", "not be found", "be found", "was found", "not available", "be available", "moved or deleted", "nicht gefunden", "gibt es auf", "introuvable", "n'existe", "encontrad", "niet gevonden", "не найден", "script", "skript", "сценари", "скрипт",
-        "temporarily", "vorübergehend", "momentanément", "temporairement", "disponible", "disponível", "tijdelijk", "временно", "maintenance", "wartung", "mantenimiento", "manutenção", "onderhoud", "denied", "forbidden", "verweigert", "refusé", "denegado", "negado", "geweigerd", "доступ",
-        "permission", "berechtigung", "permiso", "permissão", "toestemming", "нет прав", "time out", "timed", "timeout", "zeitüber", "délai", "tiempo de espera", "esgotado", "tempo de espera", "verlopen", "истекло", "gateway", "upstream", "server error", "went wrong", "schiefgelaufen", "erreur",
-        "salió mal", "deu errado", "ging iets mis", "пошло не так", "your browser", "verify", "robot", "captcha", "too many", "unusual", "try again", "error ", "erro ", "fehler ", "fout ", "ошибка ",
-    )
-)
-FILLER_STEMS = automaton(
-    (
-        "sample text", "placeholder", "dummy", "filler", "example text", "goes here", "coming soon", "replace", "show the layout", "platzhalter", "blindtext", "beispieltext", "fülltext", "eigene inhalte", "steht später", "ihr text", "votre texte", "texte", "remplacez",
-        "texto", "sustit", "reempl", "troque", "tekst", "vervang", "пример текста", "замените", "заполнитель", "ваш текст", "текст",
-    )
+LONG = 140  # code points from which a line that begins like prose is prose unless it asks for consent
+# One of these stands in every line that CONSENT can match.
+STEMS = (
+    "cookie", "files are", "small files", "dateien", "fichiers", "archivos son", "arquivos são", "ficheiros", "bestanden", "файлы", "by continuing", "nutzung", "en poursuivant", "continúa nav", "continua nav", "ao continuar", "als u verder", "продолжая",
+    "your choice", "your consent", "your settings", "auswahl", "votre choix", "su elección", "sua escolha", "sua opção", "keuze", "выбор", "partners may", "unsere partner", "partenaires", "nuestros socios", "parceiros", "onze partners", "партн", "cookie policy", "privacy policy",
 )
 
+
+def automaton(stems: tuple[str, ...]) -> ahocorasick.Automaton:
+    """Finds any of the stems in one pass over a text."""
+    a = ahocorasick.Automaton()
+    for stem in stems:
+        a.add_word(stem, stem)
+    a.make_automaton()
+    return a
+
+
+def any_in(a: ahocorasick.Automaton, text: str) -> bool:
+    return next(a.iter(text), None) is not None
+
+
+_stems = automaton(STEMS)
+_prose: dict[str, bool] = {}
+
+
+
+def is_prose(line: str) -> bool:
+    """Whether a line is content by its own marks: a sentence that is no consent, teaser, inserted or marked line."""
+    text = line.strip()
+    if len(text) >= LONG and text[0].isalpha() and text[-1] in ".!?…" and not any_in(_stems, text.lower()):
+        return True
+    known = _prose.get(text)
+    if known is None:
+        if len(_prose) >= MEMO:
+            _prose.clear()
+        known = _prose[text] = _is_prose(text)
+    return known
+
+
+def _is_prose(text: str) -> bool:
+    n = len(NAME_WORD.findall(text))
+    marker = MARKER.match(text)
+    if n < 5 or marker or not SENTENCE_END.search(text) or text[0] == "#" or (text[0] == "|" and text[-1] == "|") or TEASER.match(text):
+        return False
+    if n <= 3 * SHORT_WORDS and INSERT.search(text) and len(SENTENCE_END.findall(text)) <= 1:
+        return False
+    parts = [p for p in re.split(r"(?<=[.!?…])\s+", text) if p]
+    if any_in(_stems, text.lower()) and CONSENT.search(text) and 2 * sum(1 for p in parts if CONSENT.search(p)) > len(parts):
+        return False
+    return not (LINK.search(text) and not LINK.sub("", text).strip(" *-•»›"))
+
+
 WORD = re.compile(r"\w+")
 NONE, PLACED, FILLED, NOTICED = 0, 1, 2, 3
 _codes: dict[str, int] = {}
@@ -89,24 +149,10 @@ def placeholders(text: str) -> bool:
     return any(not (FAILED.fullmatch(m[0]) and m[0] not in ("undefined", "NaN")) for m in PLACEHOLDER.finditer(bare))
 
 
-def _half(pattern: re.Pattern, unit: str) -> bool:
-    """Whether half of the line's sentences match."""
-    parts = [p for p in re.split(r"(?<=[.!?…])\s+", unit) if p]
-    return 2 * sum(1 for p in parts if pattern.search(p)) >= len(parts)
-
-
-def trusted(unit: str, low: str, words: list[str]) -> int:
-    """Label of a line that is residue beyond doubt: filler or an error notice."""
+def trusted(words: list[str]) -> int:
+    """FILLED for a line of pseudo-Latin."""
     n = len(words)
-    if n < 2:
-        return NONE
-    if n >= 5 and sum(w in LATIN for w in words[:12]) >= 4 and sum(w in LATIN for w in words) >= 0.7 * n:
-        return FILLED
-    if any_in(FILLER_STEMS, low) and FILLER.search(unit) and _half(FILLER, unit):
-        return FILLED
-    if n <= NOTICE_WORDS and any_in(NOTICE_STEMS, low) and NOTICE.search(unit) and _half(NOTICE, unit):
-        return NOTICED
-    return NONE
+    return FILLED if n >= 5 and sum(w in LATIN for w in words[:12]) >= 4 and sum(w in LATIN for w in words) >= 0.7 * n else NONE
 
 
 def shingles(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,13 +201,13 @@ def simhash(words: list[list[str]]) -> np.ndarray:
     return codes(*shingles(words))
 
 
-def once_said(low: str) -> str | None:
-    """The sentence of a line that says nothing but one sentence two times or more, else null."""
-    half = len(low) // 2
-    if half < 12 or low[:12] not in low[12:]:
-        return None
-    parts = [p for p in re.split(r"(?<=[.!?…])\s+", low) if p]
-    return parts[0] if len(parts) > 1 and len(set(parts)) == 1 else None
+def once_said(words: list[str]) -> str | None:
+    """The words that a line says over and over, two times or more, else null; they are three or more."""
+    n = len(words)
+    for period in range(3, n // 2 + 1):
+        if words[period] == words[0] and n % period == 0 and words[period:] == words[:-period]:
+            return " ".join(words[:period])
+    return None
 
 
 def normal(unit: str) -> str:
@@ -171,9 +217,11 @@ def normal(unit: str) -> str:
 def units_of(records: DataFrame, key: str, text: str, title: str) -> DataFrame:
     """(key, no, label, prose, alone, again, about, unit): the non-blank lines of each record.
 
-    label is the trusted one; prose marks lines that are content in their own right, alone the
-    short one that is its record's only content, again lines of one sentence said over and over
-    (unit holds it once); about is the hash of the record's title.
+    unit is the line's words, lower-case and with digits masked. label is the trusted one:
+    pseudo-Latin, or the only content of a record whose title is that of a notice. prose marks
+    lines that are content in their own right, alone the short one that is its record's only
+    content, again lines that say the same over and over (unit holds it once); about is the
+    hash of the record's title.
     """
     rows = records.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.col(title).alias("ti"))
     kinds = [pa.int64(), pa.int32(), pa.int8(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.string()]
@@ -200,11 +248,11 @@ def units_of(records: DataFrame, key: str, text: str, title: str) -> DataFrame:
                         if not unit or fenced:
                             continue
                         low = normal(unit)
-                        said = once_said(low)
-                        again, low = said is not None, said or low
                         ws = WORD.findall(low)
-                        label = trusted(unit, low, ws)
-                        prose = not label and (len(ws) > 60 or shape(unit, False)[0] == PROSE)
+                        label = trusted(ws)
+                        said = None if label or unit[0] in "|#" else once_said(ws)
+                        again, low = said is not None, said or " ".join(ws) or low
+                        prose = not label and (len(ws) > 60 or is_prose(unit))
                         if prose or label:
                             content.append(len(ks))
                         ks.append(k), nos.append(no), labels.append(label), proses.append(prose), agains.append(again), texts.append(low), sizes.append(len(ws))
@@ -212,6 +260,10 @@ def units_of(records: DataFrame, key: str, text: str, title: str) -> DataFrame:
                     abouts += [(xxhash.xxh64_intdigest(ti or "") >> 1)] * (len(ks) - len(abouts))
                     if len(content) == 1 and content[0] >= at_first and proses[content[0]] and sizes[content[0]] <= NOTICE_WORDS:
                         alones[content[0]] = True
+                    if ti and len(content) <= 1 and len(ks) > at_first and NOTICE_TITLE.fullmatch(ti):  # what the title speaks of: its content, or its longest line
+                        about = content[0] if content else max(range(at_first, len(ks)), key=lambda i: sizes[i])
+                        if 2 < sizes[about] <= NOTICE_WORDS and not labels[about]:
+                            labels[about] = NOTICED
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip((ks, nos, labels, proses, alones, agains, abouts, texts), kinds, strict=True)], names=names)
 
     return rows.mapInArrow(run, f"{key} bigint, no int, label tinyint, prose boolean, alone boolean, again boolean, about bigint, unit string")
@@ -266,7 +318,8 @@ def alike(pairs: DataFrame) -> DataFrame:
 def labelled_units(units: DataFrame, key: str) -> DataFrame:
     """Trusted labels carried through the near-duplicate graph: (key, no, label).
 
-    Trusted are lines that say what they are, and lines that the corpus proves to be residue.
+    Trusted are the seeds NOTICES and FILLERS, lines of pseudo-Latin, the only content of
+    records with the title of a notice, and lines that the corpus proves to be residue.
 
     Round by round the newly labelled texts are joined with all unlabelled ones on the least
     of their shingles (no similar pair can miss, see prefixes), compared by number of shingles
@@ -285,7 +338,9 @@ def labelled_units(units: DataFrame, key: str) -> DataFrame:
     lines = units.where(f"label in ({NONE}, {FILLED}, {NOTICED}) and unit <> ''")
     each = lines.groupBy("unit").agg(F.max("label").alias("label"), F.max(F.col("label") == NONE).alias("open"))
     each = each.join(hint(proven), "unit", "left").select("unit", "open", F.greatest("label", F.when(F.col("open"), F.col("proof"))).alias("got"))
-    texts = cut(prefixes(each.withColumn("u", F.monotonically_increasing_id())))
+    seeds = units.sparkSession.createDataFrame([(" ".join(WORD.findall(normal(x))), False, got) for xs, got in ((NOTICES, NOTICED), (FILLERS, FILLED)) for x in xs], "unit string, open boolean, got byte")
+    # A seed is a text of its own, linked to those like it as any other.
+    texts = cut(prefixes(each.select("unit", "open", F.col("got").cast("tinyint").alias("got")).unionByName(seeds).withColumn("u", F.monotonically_increasing_id())))
     tokens = texts.where("open").select("u", "n", "sim", F.explode("prefix").alias("tok"))
     front = cut(texts.where(f"got <> {NONE}").select("u", "got"))
     seen, rounds = front, 0

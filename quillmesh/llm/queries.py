@@ -64,6 +64,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrounding_lines(pages).join(left_out, "extraction_id", "left_anti")
 
 
+def p5_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.p05_main import main_body
+
+    return main_body(table(spark, sf_dir, "extractions").where("status = 'success' and kind = 'html'"))
+
+
 def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.llm.p06_language import identify
 
@@ -131,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_turns": p4_turns,
     "p5_found": p5_found,
+    "p5_body": p5_body,
     "p6_found": p6_found,
     "p6_languages": p6_languages,
     "p7_found": p7_found,

@@ -22,8 +22,8 @@ def test_placeholders():
 def test_residue(spark):
     notice = "Our staff could not load the requested document because the storage node is resting today"
     rows = [
-        (1, "T", ARTICLE), (2, "T", "404 – Page not found. The address does not exist on this server."), (3, "T", ARTICLE + "\n404 – Page not found."), (4, "{{title}}", ARTICLE), (5, None, "Text goes here text goes here.\n" + ARTICLE), (6, "T", None), (7, "T", ""), (None, "T", "{{x}}"), (2, "T", "404 – Page not found. The address does not exist on this server."),
-        (8, "T", "Please enable JavaScript to use this page and then load the very same address again in the browser window that you have open right now thank you"),
+        (1, "T", ARTICLE), (2, "T", "Menu\n\n404 – Page not found. The address you requested does not exist on this server."), (3, "T", ARTICLE + "\n404 – Page not found. The address you requested does not exist on this server."), (4, "{{title}}", ARTICLE), (5, None, "Text goes here text goes here.\n" + ARTICLE), (6, "T", None), (7, "T", ""), (None, "T", "{{x}}"), (2, "T", "Menu\n\n404 – Page not found. The address you requested does not exist on this server."),
+        (8, "Just a moment", "Please enable JavaScript to use this page and then load the very same address again in the browser window that you have open right now thank you"),
         (9, "T", "Please enable JavaScript to use this page and then load the very same address again in the browser window that you have open right now thank us"), (10, "T", notice), (11, "T", "Lorem ipsum dolor sit amet, donec felis augue nisl. " * 3000), (12, "T", ARTICLE + " " + "word " * 50_000),
     ]
     df = spark.createDataFrame([(*r, 0, "u") for r in rows], "extraction_id long, title string, text string, label int, unit string")
@@ -32,6 +32,16 @@ def test_residue(spark):
     assert p01_residue.residue(df.limit(0)).count() == 0
 
 
+def test_without_spreading_hardly_a_notice_is_found(spark, monkeypatch):
+    """Rows come by the near-duplicate graph: with no pair alike, only what is trusted where it stands is left."""
+    notice = "Our staff could not load the requested document because the storage node is resting today"
+    rows = [(1, "Just a moment", notice), (2, "A", notice + "."), (3, "B", notice.replace("today", "tonight")), (4, "C", "Access denied. You do not have permission to view this resource."), (5, "D", ARTICLE)]
+    df = spark.createDataFrame(rows, "extraction_id long, title string, text string")
+    assert {r.extraction_id for r in p01_residue.residue(df).collect()} == {1, 2, 3, 4}
+    monkeypatch.setattr(p01_residue, "alike", lambda pairs: pairs.select("u", "got").where("false"))
+    assert {r.extraction_id for r in p01_residue.residue(df).collect()} == {1, 2}  # the copies of one text are one node
+
+
 def test_labels_spread_only_to_near_duplicates(spark):
     base = "the archive of the northern valley keeps a list of all boats that were built there between the two floods and sold to the islands"
     near, far = base.replace("sold", "given"), base.replace("boats that were built there between", "houses")
@@ -75,18 +85,24 @@ def test_labels_reach_all_that_brute_force_reaches(spark):
     assert got == want and 80 < len(want) < len(texts)
 
 
+def article(i):
+    """Two sentences that no other page has."""
+    rng = random.Random(i)
+    return " ".join(" ".join(["The", *(f"{rng.choice('bdgklmnprst')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}" for _ in range(9))]) + "." for _ in range(2))
+
+
 def test_main_body(spark):
     nav, foot = "Home | News | Contact", "All rights reserved."
-    page = lambda i: "\n".join([nav, "", "We use cookies to improve your visit.", "Got it", "", f"{ARTICLE} Page {i}.", "", "## Heading", "", "- first thing", "- second thing", "", f"{ARTICLE} End {i}.", "Subscribe to our newsletter and never miss a story.", "Related articles", "* A title", "", "- Home", "- Contact", "", foot])
-    rows = [(i, f"https://h{i % 2}.example/a/{i}", page(i)) for i in range(12)] + [(20, None, page(20)), (21, "https://h0.example/x", None), (22, "u", ""), (None, "u", "x"), (0, "https://h0.example/a/0", page(0))]
+    page = lambda i: "\n".join([nav, "", "We use cookies to improve your visit.", "Got it", "", article(i), "", "## Heading", "", "- first thing", "- second thing", "", article(100 + i), "Subscribe to our newsletter and never miss a story.", "Related articles", "* A title", "", "- Home", "- Contact", "", foot])
+    rows = [(i, f"https://h{i % 2}.example/a/{i}", page(i)) for i in range(24)] + [(60, None, page(60)), (61, "https://h0.example/x", None), (62, "u", ""), (None, "u", "x"), (0, "https://h0.example/a/0", page(0))]
     df = spark.createDataFrame([(*r, 1, "h") for r in rows], "extraction_id long, source_id string, text string, no int, host string")
     got = {}
     for r in p05_main.surrounding_lines(df).collect():
         got.setdefault(r.extraction_id, []).append(r.line_no)
     lines = page(3).split("\n")
     kept = [x for i, x in enumerate(lines) if x and i not in got[3]]
-    assert kept == [f"{ARTICLE} Page 3.", "## Heading", "- first thing", "- second thing", f"{ARTICLE} End 3."]
-    assert sorted(got[20]) == sorted(got[3]) and 21 not in got and all(len(v) == len(set(v)) for v in got.values())
+    assert kept == [article(3), "## Heading", "- first thing", "- second thing", article(103)]
+    assert sorted(got[60]) == sorted(got[3]) and 61 not in got and all(len(v) == len(set(v)) for v in got.values())
     assert p05_main.surrounding_lines(df.limit(0)).count() == 0
 
 
@@ -99,6 +115,15 @@ def test_residue_proven_by_the_corpus(spark):
     assert got == {**{i: "notice" for i in range(5)}, **{10 + i: "filler" for i in range(4)}, 20: "filler"}
 
 
+def test_body_text_and_long_notices_without_known_words(spark):
+    notice = "Dear visitor, the crumbs of this house are kept for thirty days in a jar beside the door, as every guest of the house has been told before."
+    page = lambda i: "\n".join(["- Alpha", "- Beta", "", notice, "", article(i), "", "- first thing", f"- second thing {i}", "", article(100 + i), "", "Zork | Blip", "Foo inc 2020"])
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", page(i)) for i in range(40)] + [(90, "https://h.example/x", None), (91, "https://h.example/y", "")], "extraction_id long, source_id string, text string")
+    got = {r.extraction_id: r.body for r in p05_main.main_body(df).collect()}
+    assert got[7] == "\n".join([article(7), "", "- first thing", "- second thing 7", "", article(107)])
+    assert 90 not in got and got[91] == "" and p05_main.main_body(df.limit(0)).count() == 0
+
+
 def test_main_body_leaves_out_cases_proven_by_other_kinds(spark, tmp_path):
     notice = "This little app works best with its motor turned on."
     rows = [(i, kind, "success", f"Title {i}", f"{notice}\nHome", f"https://h.example/{i}") for i, kind in enumerate(("html", "docs", "text"))] + [(9, "html", "success", "Nine", f"{ARTICLE}\nHome", "https://h.example/9")]
