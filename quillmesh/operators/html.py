@@ -73,8 +73,8 @@ def document(page: Column, base: Column) -> Column:
 
 
 def relative_links(md: Column, base: Column) -> Column:
-    """Images, then links that look like paths, made absolute in Markdown."""
-    relative = lambda u: ~u.rlike(r"^(?i)(?:https?:|data:|mailto:|javascript:|tel:|#)")
+    """Images, then links that look like paths, made absolute in Markdown; addresses of stored assets stay."""
+    relative = lambda u: ~u.rlike(r"^(?i)(?:https?:|data:|mailto:|javascript:|tel:|#)") & ~u.contains("../../assets/") & ~u.rlike("^/?assets/")
     md = replaced(md, r"!\[([^\]]*)\]\(([^)\s]+)((?:\s+\"[^\"]*\")?)\)", lambda a, u, t: F.concat(F.lit("!["), a, F.lit("]("), F.when(relative(u), urls.resolved(u, base)).otherwise(u), t, F.lit(")")), (1, 2, 3))
     path_like = lambda u: relative(u) & (u.contains("/") | u.startswith("."))
     return replaced(md, r"(?<!!)\[([^\]]*)\]\(([^)\s]+)\)", lambda a, u: F.concat(F.lit("["), a, F.lit("]("), F.when(path_like(u), urls.resolved(u, base)).otherwise(u), F.lit(")")), (1, 2))
@@ -82,6 +82,7 @@ def relative_links(md: Column, base: Column) -> Column:
 
 def without_widgets(md: Column) -> Column:
     """Widget texts, progress counts, empty headings and star buttons removed; indentation flattened."""
+    # Buttons of code-sharing pages.
     for pattern in (
         r"-\s*\[(?:Star|Fork)\s*\n[\d,]+\s*\n\([\d,]+\)\][^\n]*You must be signed[^\n]*\n?",
         r"-\s*\[(?:Star|Fork)\s*\n[\d,]+\][^\n]*You must be signed[^\n]*\n?",

@@ -1,4 +1,4 @@
-"""The ordered rewrites that turn the inside of a page into Markdown, as a table of patterns and makers.
+"""The ordered rewrites that turn the inside of a page into Markdown: a table of elements and what is made of each.
 
 Each step sees the text that the steps before it left, so the order is part of the meaning:
 links come before images (an image inside a link goes with it), code is decoded before tags
@@ -11,12 +11,15 @@ import re
 from collections.abc import Callable
 from urllib.parse import urljoin
 
-# Entities in the order of their decoding.
+# Entities in the order of their decoding, links that are never resolved, and where lazy images keep their address.
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
-ABSOLUTE = re.compile(r"https?:|data:|mailto:|tel:|#", re.I)
+UNRESOLVED = re.compile(r"(?:https?:|data:|mailto:|tel:|#|$)", re.I)
+LAZY = ("data-src", "data-lazy-src", "data-original", "data-srcset")
+
 NUMBERED = re.compile(r"&#(?:(\d+)|[xX]([0-9a-fA-F]+));")
 TAG = re.compile(r"<[^>]+>")
-FLAGS = re.S | re.I
+ATTRIBUTE = re.compile(r'\b([\w-]+)="([^"]*)"')
+Maker = Callable[[str, str, "str | None"], str]
 
 
 def bare(x: str) -> str:
@@ -39,63 +42,87 @@ def decoded(x: str) -> str:
 
 
 def absolute(link: str, base: str | None) -> str:
-    """A link resolved against the page's address; special, empty and fragment links stay."""
-    if not link or ABSOLUTE.match(link):
+    """A link as the page at ``base`` means it."""
+    if UNRESOLVED.match(link):
         return link
-    if link.startswith("//"):
-        return "https:" + link
+    whole = f"https:{link}" if link.startswith("//") else None
     try:
-        return urljoin(base, link) if base else link
-    except ValueError:
+        return whole or urljoin(base or "", link)
+    except ValueError:  # an address that no rule can read stays
         return link
 
 
-def _link(m: re.Match, base: str | None) -> str:
-    label = bare(m[2])
-    if label and not m[1].startswith(("#", "javascript:")):
-        return f"[{label}]({absolute(m[1], base)})"
-    return label
+def attributes(tag: str) -> dict[str, str]:
+    """Quoted attributes of a tag by lower-case name; the last one of a name counts, as patterns that run to the end find it."""
+    return {name.lower(): value for name, value in ATTRIBUTE.findall(tag)}
+
+
+def _picture(tag: str, _: str, base: str | None) -> str:
+    """An image by its attributes; one whose src holds data takes its address from where lazy pages keep it."""
+    known = attributes(tag)
+    src = known.get("src")
+    if src is None:
+        return tag
+    if src.lower().startswith("data:"):
+        kept = (known.get(n, "").split(",")[0].split()[:1] for n in LAZY)
+        src = next((u[0] for u in kept if u and re.match("https?:", u[0], re.I)), src)
+    return f"![{known.get('alt', '')}]({absolute(src, base)})"
 
 
-def _real_source(m: re.Match, base: str | None) -> str:
-    """An image whose src holds data takes the address from its lazy-loading attributes, if one is there."""
-    tag = m[0]
-    named = re.search(r'\b(?:data-src|data-lazy-src|data-original)="([^"]+)"', tag, re.I)
-    listed = re.search(r'\bdata-srcset="([^"]+)"', tag, re.I)
-    for url in (named and named[1], listed and listed[1].split(",")[0].split()[:1] and listed[1].split(",")[0].split()[0]):
-        if url and re.match("https?:", url, re.I):
-            return re.sub(r'\bsrc="data:[^"]*"', lambda _: f'src="{url}"', tag, count=1, flags=re.I)
-    return tag
+def _link(tag: str, inner: str, base: str | None) -> str:
+    href, label = attributes(tag).get("href"), bare(inner)
+    if href is None or not label or href.startswith(("#", "javascript:")):
+        return label if href is not None else f"{tag}{inner}</a>"
+    return f"[{label}]({absolute(href, base)})"
 
 
 def _fenced(x: str) -> str:
     return f"\n```\n{decoded(x).strip()}\n```\n"
 
 
-def _quoted(x: str) -> str:
-    return "".join(f"> {line.strip()}\n" for line in bare(x).split("\n"))
+def _quoted(_: str, inner: str, __: str | None) -> str:
+    return "".join(f"> {line.strip()}\n" for line in bare(inner).split("\n"))
+
+
+def _around(mark: str) -> Maker:
+    return lambda _, inner, __: f"{mark}{bare(inner)}{mark}"
+
+
+def _heading(tag: str, inner: str, _: str | None) -> str:
+    return f"\n{'#' * int(tag[2])} {bare(inner)}\n"
+
+
+#: (element, what is made of it); an element without an end tag has an empty inside.
+ELEMENTS: tuple[tuple[str, Maker], ...] = (
+    ("h[1-6]", _heading),
+    ("a", _link),
+    ("img/", _picture),
+    ("pre><code", lambda _, inner, __: _fenced(inner)),
+    ("pre", lambda _, inner, __: _fenced(TAG.sub("", inner))),
+    ("code", lambda _, inner, __: f"`{decoded(TAG.sub('', inner))}`"),
+    ("strong|b", _around("**")),
+    ("em|i", _around("*")),
+    ("blockquote", _quoted),
+    ("li", lambda _, inner, __: f"- {bare(inner)}\n"),
+)
+# Tags that are line breaks.
+BREAKS = ((r"</p>", "\n\n"), (r"<br\s*/?>|</div>", "\n"), (r"<hr[^>]*>", "\n---\n"))
 
 
-def _step(pattern: str, made: Callable[[re.Match, str | None], str]) -> tuple[re.Pattern, Callable]:
-    return re.compile(pattern, FLAGS), made
+def _pattern(element: str) -> re.Pattern:
+    """Start tag, inside and end tag of an element; a/b choices end as they begin."""
+    if element.endswith("/"):
+        return re.compile(rf"(<{element[:-1]}[^>]*>)()", re.S | re.I)
+    if "><" in element:
+        outer, inner = element.split("><")
+        return re.compile(rf"(<{outer}[^>]*><{inner}[^>]*>)(.*?)</{inner}></{outer}>", re.S | re.I)
+    if element == "a":  # only those with an address, however far ahead it stands
+        return re.compile(r'(<a[^>]*href="[^"]*"[^>]*>)(.*?)</a>', re.S | re.I)
+    return re.compile(rf"(?=<({element})[^>]*>)(<\1[^>]*>)(.*?)</\1>", re.S | re.I)
 
 
-STEPS = [
-    *[_step(rf"<h{n}[^>]*>(.*?)</h{n}>", lambda m, _, n=n: f"\n{'#' * n} {bare(m[1])}\n") for n in range(1, 7)],
-    _step(r'<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', _link),
-    _step(r'<img[^>]*\bsrc="data:[^"]*"[^>]*>', _real_source),
-    _step(r'<img[^>]*alt="([^"]*)"[^>]*src="([^"]*)"[^>]*>', lambda m, base: f"![{m[1]}]({absolute(m[2], base)})"),
-    _step(r'<img[^>]*src="([^"]*)"[^>]*alt="([^"]*)"[^>]*>', lambda m, base: f"![{m[2]}]({absolute(m[1], base)})"),
-    _step(r'<img[^>]*src="([^"]*)"[^>]*>', lambda m, base: f"![]({absolute(m[1], base)})"),
-    _step(r"<pre[^>]*><code[^>]*>(.*?)</code></pre>", lambda m, _: _fenced(m[1])),
-    _step(r"<pre[^>]*>(.*?)</pre>", lambda m, _: _fenced(TAG.sub("", m[1]))),
-    _step(r"<code[^>]*>(.*?)</code>", lambda m, _: f"`{decoded(TAG.sub('', m[1]))}`"),
-    _step(r"<(strong|b)[^>]*>(.*?)</\1>", lambda m, _: f"**{bare(m[2])}**"),
-    _step(r"<(em|i)[^>]*>(.*?)</\1>", lambda m, _: f"*{bare(m[2])}*"),
-    _step(r"<blockquote[^>]*>(.*?)</blockquote>", lambda m, _: _quoted(m[1])),
-    _step(r"<li[^>]*>(.*?)</li>", lambda m, _: f"- {bare(m[1])}\n"),
-    *[_step(p, lambda m, _, mark=mark: mark) for p, mark in ((r"</p>", "\n\n"), (r"<br\s*/?>|</div>", "\n"), (r"<hr[^>]*>", "\n---\n"))],
-]
+STEPS = [(_pattern(element), made) for element, made in ELEMENTS]
+MARKS = [(re.compile(pattern, re.S | re.I), mark) for pattern, mark in BREAKS]
 
 
 def spaced(x: str) -> str:
@@ -107,5 +134,7 @@ def spaced(x: str) -> str:
 def rewrite(body: str, base: str | None) -> str:
     """All steps over the inside of a page."""
     for pattern, made in STEPS:
-        body = pattern.sub(lambda m, made=made: made(m, base), body)
+        body = pattern.sub(lambda m, made=made: made(*m.groups()[-2:], base), body)
+    for pattern, mark in MARKS:
+        body = pattern.sub(mark, body)
     return spaced(decoded(TAG.sub("", body)))

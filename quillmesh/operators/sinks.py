@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillmesh.functions.text import lines, trimmed, unlines
 
@@ -24,40 +22,58 @@ def whole_seconds(ms: Column) -> Column:
     return F.bround(ms / 1000, 0).cast("bigint")
 
 
-@F.pandas_udf(T.StringType())
-def _front(rows: pd.DataFrame) -> pd.Series:
-    import json
+def _scalar(v: Column) -> Column:
+    """A string as YAML: as it is if it is plain words, else in double quotes, escaped as JSON does."""
+    plain = v.rlike(r"^\p{L}(?:[\p{L}\p{N} _-]*[\p{L}\p{N}_-])?$") & ~F.lower(v).isin("true", "false", "null", "yes", "no", "on", "off")
+    quoted = F.to_json(F.struct(v.alias("v")))
+    return F.when(plain, v).otherwise(F.substring(quoted, F.lit(6), F.length(quoted) - 6))
 
-    def value(v: object) -> str:
-        text = str(v)
-        plain = isinstance(v, (int, bool)) or (text and text.strip() == text and text[0].isalnum() and text.replace("-", "").replace(" ", "").replace("_", "").isalnum() and not text[0].isdigit() and text.lower() not in ("true", "false", "null", "yes", "no", "on", "off"))
-        return text if plain else json.dumps(text, ensure_ascii=False)
 
-    def one(r: pd.Series) -> str:
-        return "---\n" + "".join(f"{k}: {value(int(v) if isinstance(v, float) else v)}\n" for k, v in r.items() if v is not None and v == v and v != "") + "---\n"
+def _front(**fields: Column) -> Column:
+    """Front matter in the order of the fields; nulls and empty strings are left out. Names ending in _ are taken as they are."""
+    lines = [F.coalesce(F.when(v.cast("string") != "", F.concat(F.lit(f"{k.rstrip('_')}: "), v.cast("string") if k.endswith("_") else _scalar(v), F.lit("\n"))), F.lit("")) for k, v in fields.items()]
+    return F.concat(F.lit("---\n"), *lines, F.lit("---\n"))
 
-    return rows.apply(one, axis=1) if len(rows) else pd.Series([], dtype=str)
+
+def _named(df: DataFrame, *names: str) -> dict[str, Column]:
+    """Columns by name; those that a frame doesn't have are null."""
+    return {n: F.col(n) if n in df.columns else F.lit(None).cast("string") for n in names}
+
+
+def _as_json(v: Column) -> Column:
+    """A struct or array in one line, or null."""
+    whole = F.to_json(F.struct(v.alias("v")))
+    return F.when(v.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
 
 
 def success_markdown(df: DataFrame) -> DataFrame:
     """(slug, md) of successes: front matter in a fixed key order, nulls left out, then the body."""
-    head = F.struct("source", "source_id", "title", "slug", "author", whole_seconds(F.col("duration_ms")).alias("duration_seconds"), "posted", "kind", "language", "extracted_at", "status")
-    return df.where("status = 'success'").select("slug", F.concat(_front(head), markdown_body(F.col("text"), F.col("title"))).alias("md"))
+    c = _named(df, "source", "source_id", "title", "slug", "author", "posted", "kind", "language", "extracted_at")
+    made = next((n for n in ("detail", "extractor") if n in df.columns), None)
+    head = _front(
+        source=c["source"], source_id=c["source_id"], title=c["title"], slug=c["slug"], author=c["author"], duration_seconds_=whole_seconds(F.col("duration_ms")), posted=c["posted"], kind=c["kind"],
+        extractor_detail_=_as_json(F.col(made)) if made else F.lit(None).cast("string"), language=c["language"], extracted_at=c["extracted_at"], status=F.lit("success"),
+    )
+    return df.where("status = 'success'").select("slug", F.concat(head, markdown_body(F.col("text"), F.col("title"))).alias("md"))
 
 
 def success_json(df: DataFrame) -> DataFrame:
     """(slug, json) of successes; metadata keeps its nulls."""
     meta = F.struct("source", "source_id", "title", "slug", "author", "duration_ms", "posted", "language")
-    return df.where("status = 'success'").select("slug", F.to_json(F.struct("status", "kind", F.col("extractor").alias("extractor_detail"), meta.alias("metadata"), "text", "segments", "extracted_at"), {"ignoreNullFields": "false"}).alias("json"))
+    made = F.col("detail" if "detail" in df.columns else "extractor")
+    return df.where("status = 'success'").select("slug", F.to_json(F.struct("status", "kind", made.alias("extractor_detail"), meta.alias("metadata"), "text", "segments", "extracted_at"), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def failure_stub(df: DataFrame) -> DataFrame:
-    """(slug, md, json) of failures."""
-    title = F.nullif("title", F.lit(""))
-    head = F.struct("source", "source_id", "slug", "kind", title.alias("title"), "status", "exit_code", "error", F.col("extracted_at").alias("attempted_at"))
+    """(slug, md, json) of failures; extractor_attempted names the kind's way that was tried, none where no kind matched."""
+    title, tried = F.nullif("title", F.lit("")), F.when(F.col("kind").isNull(), F.array().cast("array<string>")).otherwise(F.array("kind"))
+    c = _named(df, "source", "source_id", "slug", "kind", "error", "extracted_at")
+    head = _front(
+        source=c["source"], source_id=c["source_id"], slug=c["slug"], kind=c["kind"], title=title, status=F.lit("failed"), exit_code_=F.col("exit_code"), extractor_attempted_=_as_json(tried), error=c["error"], attempted_at=c["extracted_at"],
+    )
     body = F.lit("\n(no body - extraction failed; run again with force)\n")
-    payload = F.to_json(F.struct("status", "kind", "source", "source_id", "slug", title.alias("title"), "exit_code", "error", F.col("extracted_at").alias("attempted_at")), {"ignoreNullFields": "false"})
-    return df.where("status = 'failed'").select("slug", F.concat(_front(head), body).alias("md"), payload.alias("json"))
+    payload = F.struct("status", "kind", "source", "source_id", "slug", title.alias("title"), "exit_code", tried.alias("extractor_attempted"), "error", F.col("extracted_at").alias("attempted_at"))
+    return df.where("status = 'failed'").select("slug", F.concat(head, body).alias("md"), F.to_json(payload, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def front_matter(md: Column) -> Column:

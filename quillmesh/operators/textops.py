@@ -16,6 +16,7 @@ METRIC_WORDS = (
     "Views", "Show this thread", "Want to publish your own Article?", "Upgrade to Premium", "Subscribe", "|", "Terms of Service", "Privacy Policy", "Cookie Policy", "Accessibility", "Ads info", "More", "Blog", "Careers", "Brand Resources",
     "Advertising", "Marketing", "X for Business", "Developers", "News", "Settings", "About", "Download the X app", "Help Center", "·",
 )
+# Fixed value: a line that is a counter, a date or a clock time with its date, as thread pages show them.
 METRIC_LINE = r"^(?:[\d.,]+[KMB]?|Read \d+ repl(?:y|ies)|[A-Z][a-z]+ \d+(?:, \d{4})?|\d+:\d+\s*[AP]M\s*·\s*[A-Z][a-z]+\s*\d+,?\s*\d*|©\s*20\d\d\s*X Corp\.?)$"
 CHROME_STARTS = (
     r"Trending in [A-Z][\w ]+$", r"Trending now$", r"What['’]s happening$", r"Who to follow$", r"Relevant people$", r"Politics · Trending$", r"Sports · Trending$", r"Entertainment · Trending$", r"Read \d+ repl(?:y|ies)$", r"New to X\?$",
@@ -35,19 +36,22 @@ def clean_text(x: Column) -> Column:
 def reflowed(x: Column) -> Column:
     """Soft-wrapped lines joined: a paragraph ends at a blank line or after closing punctuation.
 
-    One fold over the lines: the mark put between two lines is a space, or a line feed where a
-    paragraph ends.
+    What stands between two lines hangs on these two alone: a space after an open line, a line
+    feed where a paragraph ends, and one more before a blank line. So no text is carried along.
     """
+    stops = lambda line: line.rlike(r"[.!?:\")]$")
 
-    def step(acc: Column, line: Column) -> Column:
-        open_ = acc["open"]
-        text = F.when(line == "", F.concat(acc["text"], F.when(open_, "\n").otherwise(""), F.lit("\n"))).otherwise(F.concat(acc["text"], F.when(open_, " ").otherwise(""), line, F.when(line.rlike(r"[.!?:\")]$"), "\n").otherwise("")))
-        return F.struct(text.alias("text"), ((line != "") & ~line.rlike(r"[.!?:\")]$")).alias("open"))
+    def joined(ls: Column) -> Column:
+        def piece(line: Column, i: Column) -> Column:
+            before = F.get(ls, i - 1)
+            open_ = (i > 0) & (before != "") & ~stops(before)
+            return F.when(line == "", F.when(open_, "\n\n").otherwise("\n")).otherwise(F.concat(F.when(open_, " ").otherwise(""), line, F.when(stops(line), "\n").otherwise("")))
 
-    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("open"))
-    folded = F.aggregate(F.transform(F.split(F.regexp_replace(x, r"\r\n?", "\n"), "\n", -1), trimmed), start, step, lambda acc: acc["text"])
-    ended = F.regexp_replace(folded, r"\n$", "")
-    return squeezed(F.when(F.regexp_replace(x, r"\r\n?", "\n").endswith("\n"), F.regexp_replace(ended, r"\n$", "")).otherwise(ended))
+        return F.array_join(F.transform(ls, piece), "")
+
+    text = F.regexp_replace(x, r"\r\n?", "\n")
+    ended = F.regexp_replace(bind(F.transform(F.split(text, "\n", -1), trimmed), joined), r"\n$", "")
+    return squeezed(F.when(text.endswith("\n"), F.regexp_replace(ended, r"\n$", "")).otherwise(ended))
 
 
 def restored_breaks(x: Column) -> Column:

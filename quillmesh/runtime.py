@@ -31,13 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder the cluster names.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    notebook) a local folder is set for the session. A reliable checkpoint survives lost
-    executors; localCheckpoint does not and is never used.
+    The folder comes from ``spark.checkpoint.dir``. Only where that is unset and the session is
+    local (tests, a notebook) a local folder is set; on a cluster that is an error, since other
+    machines would not see it. A reliable checkpoint survives lost executors; localCheckpoint
+    does not and is never used.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmesh-checkpoint-"))
     return df.checkpoint()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.operators.sinks import TERMINAL
@@ -31,9 +31,19 @@ def talk_sessions(cues: DataFrame, key: str = "extraction_id", at: str = "at", g
 
 
 def upsert(target: str, key: str = "source_id"):
-    """A foreachBatch function that rewrites the keys of a batch in a folder of results, so that repeats do no harm."""
+    """A foreachBatch function that writes each batch to a folder of its own, once per key; a batch that is repeated replaces itself.
+
+    ``current`` reads the table that results: of a key in several batches the latest row.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates([key]).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return write
+
+
+def current(spark: SparkSession, target: str, key: str = "source_id") -> DataFrame:
+    """The rows of a folder that ``upsert`` writes, the latest one of each key. Rows are combined before they travel."""
+    every = spark.read.parquet(target)
+    row = F.struct(*[c for c in every.columns if c != "batch_id"])
+    return every.groupBy(F.col(key).alias("__key")).agg(F.max_by(row, "batch_id").alias("r")).select("r.*")

@@ -58,6 +58,26 @@ def test_streams(spark, tmp_path):
     assert spark.table("states").first().final_event == "success"
 
 
+def test_cli_files_cache_and_force(tmp_path, capsys):
+    note, out = tmp_path / "My Note.md", tmp_path / "out"
+    note.write_text("# Head\n\nbody")
+    assert main([str(note), "--out", str(out), "--keep-intermediates"]) == 0
+    assert sorted(p.name for p in out.iterdir() if p.suffix) == ["my-note.json", "my-note.md"] and (out / "my-note.md").read_text().endswith("---\n\n# Head\n\nbody\n") and (out / "intermediate").is_dir()
+    note.write_text("# Other\n\nbody")
+    assert main([str(note), "--out", str(out), "-v"]) == 0 and "cache_hit" in capsys.readouterr().err and "# Head" in (out / "my-note.md").read_text()
+    assert main([str(note), "--out", str(out), "--force", "--print", "--json-log"]) == 0
+    shown = capsys.readouterr()
+    assert "# Other" in shown.out and '"event": "success"' in shown.err and "# Head" in (out / "my-note.md").read_text()
+    assert main(["nothing here", "--out", str(out)]) == 30 and "extractor_attempted: []" in (out / "nothing-here.md").read_text()
+
+
+def test_upsert_keeps_the_latest(spark, tmp_path):
+    write = streaming.upsert(str(tmp_path / "t"))
+    frame = lambda rows: spark.createDataFrame(rows, "source_id string, v int")
+    write(frame([("a", 1), ("b", 1)]), 0), write(frame([("a", 2)]), 1), write(frame([("a", 3), ("c", 3)]), 1)
+    assert {tuple(r) for r in streaming.current(spark, str(tmp_path / "t")).collect()} == {("a", 3), ("b", 1), ("c", 3)}
+
+
 def test_cli_modes(capsys):
     assert main(["--version"]) == 0 and main([]) == 2 and main(["--list-providers"]) == 0
     assert "youtube" in capsys.readouterr().out
