@@ -58,15 +58,17 @@ def attributes(tag: str) -> dict[str, str]:
 
 
 def _picture(tag: str, _: str, base: str | None) -> str:
-    """An image by its attributes; one whose src holds data takes its address from where lazy pages keep it."""
+    """An image by its attributes, of which the last that ends in src counts; data gives way to the address that lazy pages keep."""
     known = attributes(tag)
-    src = known.get("src")
-    if src is None:
+    sources = [value for name, value in ATTRIBUTE.findall(tag) if name.lower().endswith("src")]
+    if not sources:
         return tag
-    if src.lower().startswith("data:"):
-        kept = (known.get(n, "").split(",")[0].split()[:1] for n in LAZY)
-        src = next((u[0] for u in kept if u and re.match("https?:", u[0], re.I)), src)
-    return f"![{known.get('alt', '')}]({absolute(src, base)})"
+    data = next((i for i, x in enumerate(sources) if x.lower().startswith("data:")), None)
+    kept = (known.get(n, "").split(",")[0].split()[:1] for n in LAZY)
+    real = next((u[0] for u in kept if u and re.match("https?:", u[0], re.I)), None)
+    if data is not None and real:
+        sources[data] = real
+    return f"![{known.get('alt', '')}]({absolute(sources[-1], base)})"
 
 
 def _link(tag: str, inner: str, base: str | None) -> str:
