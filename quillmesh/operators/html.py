@@ -36,21 +36,6 @@ def without_chrome(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, rf"(?is)<({'|'.join(DROPPED)})[^>]*>.*?</\1>", ""), r"(?s)<!--.*?-->", "")
 
 
-def links(x: Column, base: Column) -> Column:
-    def made(href: Column, inner: Column) -> Column:
-        label = trimmed(untagged(inner))
-        return F.when(label == "", "").when(href.rlike("^(?:#|javascript:)"), label).otherwise(F.concat(F.lit("["), label, F.lit("]("), urls.resolved(href, base), F.lit(")")))
-
-    return replaced(x, r"(?is)<a[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>", made, (1, 2))
-
-
-def images(x: Column, base: Column) -> Column:
-    made = lambda alt, src: F.concat(F.lit("!["), alt, F.lit("]("), urls.resolved(src, base), F.lit(")"))
-    x = replaced(x, r"(?is)<img[^>]*alt=\"([^\"]*)\"[^>]*src=\"([^\"]*)\"[^>]*>", made, (1, 2))
-    x = replaced(x, r"(?is)<img[^>]*src=\"([^\"]*)\"[^>]*alt=\"([^\"]*)\"[^>]*>", lambda s, a: made(a, s), (1, 2))
-    return replaced(x, r"(?is)<img[^>]*src=\"([^\"]*)\"[^>]*>", lambda s: made(F.lit(""), s))
-
-
 @F.pandas_udf(T.StringType())
 def _rewritten(body: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else rewrite(x, b) for x, b in zip(body, base, strict=True)], dtype=object)

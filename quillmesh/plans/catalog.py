@@ -144,11 +144,14 @@ def probe_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "p.source_type", "p.ext")
 
 
-@query("disposition_name", """SELECT doc_id, 'r ' || CAST(doc_id AS STRING) || '+é.pdf' AS name FROM documents""")
+HEADERS = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'attachment; filename*=UTF-8' || chr(39) || chr(39) || coalesce(lang, 'x') || '%20' || CAST(doc_id AS STRING) || '+%C3%A9.pdf' WHEN 1 THEN 'attachment; filename="Report ' || CAST(doc_id AS STRING) || '.docx"; size=3'
+    WHEN 2 THEN 'inline' ELSE 'attachment; filename= plain' || CAST(doc_id AS STRING) || '.txt ' END AS h FROM documents"""
+
+
+@query("disposition_name", f"""SELECT doc_id, nullif(url_decode(trim(regexp_extract(h, 'filename\\*?=(?:[^\\x27"]*\\x27\\x27)?"?([^";]+)"?', 1))), '') AS name FROM ({HEADERS})""")
 def disposition_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-SRC-13."""
-    header = F.concat(F.lit("attachment; filename*=UTF-8''r%20"), F.col("doc_id").cast("string"), F.lit("+%C3%A9.pdf"))
-    return table(spark, sf_dir, "documents").select("doc_id", detect.named_in(header).alias("name"))
+    return derived(spark, sf_dir, HEADERS, "documents").select("doc_id", detect.named_in(F.col("h")).alias("name"))
 
 
 @query("login_wall", """WITH t AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN ' Join LinkedIn' WHEN 1 THEN ' Sign in or Sign up' WHEN 2 THEN ' Log in' ELSE '' END AS t FROM documents)
@@ -163,7 +166,13 @@ def login_wall(spark: SparkSession, sf_dir: str) -> DataFrame:
 SLUG = "regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(regexp_replace({0}, '[ßøØłŁđĐæÆœŒıŧŦħĦŋŊþÞðÐĸŉ]', '', 'g')), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-@query("title_slug")
+def cut_sql(x: str, most: int) -> str:
+    """A slug within a limit: cut back to a whole word where it has one."""
+    return f"CASE WHEN length({x}) <= {most} THEN {x} ELSE regexp_replace(CASE WHEN regexp_matches(left({x}, {most}), '^.+-') THEN regexp_extract(left({x}, {most}), '^(.+)-[^-]*$', 1) ELSE left({x}, {most}) END, '-+$', '') END"
+
+
+@query("title_slug", f"""WITH t AS (SELECT DISTINCT title, {SLUG.format('title')} AS s FROM extractions WHERE title IS NOT NULL)
+    SELECT title, {cut_sql('s', 80)} AS slug, {cut_sql('s', 24)} AS short_slug FROM t""")
 def title_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-ID-1 on titles; tested against Python's Unicode tables."""
     return table(spark, sf_dir, "extractions").where("title is not null").select("title", identity.slug(F.col("title")).alias("slug"), identity.slug(F.col("title"), 24).alias("short_slug")).distinct()
@@ -176,7 +185,15 @@ def url_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources(spark, sf_dir).where(urls.is_http(F.col("raw"))).select("doc_id", identity.url_slug(F.col("raw")).alias("slug"))
 
 
-@query("input_slug")
+NAME_SQL = "regexp_extract(regexp_replace(CASE WHEN http THEN path ELSE raw END, '/+$', ''), '([^/]*)$', 1)"
+STEM_SQL = "regexp_replace({0}, '([^.])[.][^.]*$', '\\1')"
+
+
+@query("input_slug", DETECTED + rf""", n AS (SELECT *, {NAME_SQL} AS name, {HOST} AS authority FROM k WHERE kind IS NOT NULL),
+    b AS (SELECT *, CASE kind WHEN 'pdf' THEN regexp_replace(name, '(?i)[.]pdf$', '') WHEN 'docs' THEN regexp_replace(name, '(?i)[.](docx|xlsx|pptx|epub)$', '') ELSE {STEM_SQL.format('name')} END AS bare FROM n),
+    w AS (SELECT *, CASE kind WHEN 'html' THEN authority || ' ' || path WHEN 'youtube' THEN vid ELSE CASE WHEN http THEN coalesce(nullif(bare, ''), authority) ELSE {STEM_SQL.format('name')} END END AS words FROM b),
+    f AS (SELECT *, {SLUG.format('words')} AS s FROM w)
+    SELECT doc_id, kind, coalesce(nullif({cut_sql('s', 80)}, ''), CASE kind WHEN 'docs' THEN 'doc' WHEN 'html' THEN 'page' ELSE kind END) AS slug, left(regexp_replace(raw, '[^A-Za-z0-9._-]', '_', 'g'), 40) AS work_name FROM f""")
 def input_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-ID-2b to 2f."""
     d = detect.detected(sources(spark, sf_dir)).where("kind is not null")
@@ -204,7 +221,7 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", identity.page_title(F.col("t"), F.lit("none")).alias("page_title"), F.coalesce(F.nullif(trimmed(text), F.lit("")), F.lit("none")).alias("has_text_title"))
 
 
-@query("html_title", f"SELECT doc_id, 'Page &amp; ' || CAST(doc_id AS STRING) AS title FROM ({PAGES})")
+@query("html_title", f"SELECT doc_id, {trim_sql(f"regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '{WS}+', ' ', 'g')")} AS title FROM ({PAGES})")
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-ID-8."""
     return pages(spark, sf_dir).select("doc_id", identity.html_title(F.col("html")).alias("title"))
@@ -219,17 +236,64 @@ def html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("doc_id", html.without_chrome(html.region(F.col("html"))).alias("region"))
 
 
-@query("html_markdown")
+def each_sql(text: str, pattern: str, made: str) -> str:
+    """Every match m of a pattern in a text replaced by what is made of it."""
+    return f"list_reduce(list_prepend({text}, list_distinct(regexp_extract_all({text}, '{pattern}'))), lambda acc, m: replace(acc, m, {made}))"
+
+
+def bare_sql(x: str) -> str:
+    return trim_sql(f"regexp_replace({x}, '<[^>]+>', '', 'g')")
+
+
+def decoded_sql(x: str) -> str:
+    for name, c in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")):
+        x = f"replace({x}, '{name}', '{c}')"
+    return x
+
+
+def inside_sql(element: str) -> str:
+    return f"regexp_extract(m, '(?is)^<(?:{element})[^>]*>(.*)</(?:{element})>$', 1)"
+
+
+def absolute_sql(link: str) -> str:
+    return f"""CASE WHEN {link} = '' OR regexp_matches({link}, '(?i)^(https?:|data:|mailto:|tel:|#)') THEN {link} WHEN starts_with({link}, '//') THEN 'https:' || {link}
+        WHEN starts_with({link}, '/') THEN regexp_extract(url, '^[a-z]+://[^/]*') || {link} ELSE regexp_replace(url, '[^/]*$', '') || {link} END"""
+
+
+def markdown_sql() -> str:
+    """The converter's steps over PAGES, one after the other, each on what the one before left."""
+    href, src = "regexp_extract(m, '(?is)^<a[^>]*href=\"([^\"]*)\"', 1)", "regexp_extract(m, '(?is)^<img[^>]*src=\"([^\"]*)\"', 1)"
+    label, alt = bare_sql("regexp_extract(m, '(?is)^<a[^>]*>(.*)</a>$', 1)"), "regexp_extract(m, '(?is)alt=\"([^\"]*)\"', 1)"
+    lf = "chr(10)"
+    steps = [(f"(?is)<h{n}[^>]*>.*?</h{n}>", f"{lf} || '{'#' * n} ' || {bare_sql(inside_sql(f'h{n}'))} || {lf}") for n in range(1, 7)]
+    steps += [
+        ("(?is)<a[^>]*href=\"[^\"]*\"[^>]*>.*?</a>", f"CASE WHEN {label} = '' OR regexp_matches({href}, '^(#|javascript:)') THEN {label} ELSE '[' || {label} || '](' || {absolute_sql(href)} || ')' END"),
+        ("(?is)<img[^>]*src=\"[^\"]*\"[^>]*>", f"'![' || {alt} || '](' || {absolute_sql(src)} || ')'"),
+        ("(?is)<pre[^>]*><code[^>]*>.*?</code></pre>", f"{lf} || '```' || {lf} || {trim_sql(decoded_sql("regexp_extract(m, '(?is)<code[^>]*>(.*)</code></pre>$', 1)"))} || {lf} || '```' || {lf}"),
+        ("(?is)<code[^>]*>.*?</code>", f"'`' || {decoded_sql(bare_sql(inside_sql('code')))} || '`'"),
+        ("(?is)<strong[^>]*>.*?</strong>", f"'**' || {bare_sql(inside_sql('strong'))} || '**'"), ("(?is)<em[^>]*>.*?</em>", f"'*' || {bare_sql(inside_sql('em'))} || '*'"),
+        ("(?is)<blockquote[^>]*>.*?</blockquote>", f"array_to_string(['> ' || {trim_sql('y')} || {lf} FOR y IN string_split({bare_sql(inside_sql('blockquote'))}, {lf})], '')"),
+        ("(?is)<li[^>]*>.*?</li>", f"'- ' || {bare_sql(inside_sql('li'))} || {lf}"), ("(?i)</p>", f"{lf} || {lf}"), ("(?i)<br\\s*/?>|</div>", lf), ("(?i)<hr[^>]*>", f"{lf} || '---' || {lf}"),
+    ]
+    parts = ["t0 AS (SELECT doc_id, url, html, c AS t FROM c JOIN p USING (doc_id, url))".replace("c AS t", "c AS t")]
+    parts += [f"t{i} AS (SELECT * REPLACE ({each_sql('t', a, b)} AS t) FROM t{i - 1})" for i, (a, b) in enumerate(steps, 1)]
+    plain = decoded_sql("regexp_replace(t, '<[^>]+>', '', 'g')")
+    spaced = trim_sql(f"regexp_replace(regexp_replace({plain}, '\\n{{3,}}', {lf} || {lf}, 'g'), '(?m)[ \\t]+$', '', 'g')")
+    title = trim_sql(f"regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '{WS}+', ' ', 'g')")
+    return f"{REGION}, {', '.join(parts)} SELECT doc_id, '# ' || {title} || {lf} || {lf} || {spaced} || {lf} AS md FROM t{len(steps)}"
+
+
+@query("html_markdown", markdown_sql())
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-HTML-1 to 19b; each step is tested by hand-made vectors."""
     return pages(spark, sf_dir).select("doc_id", html.document(F.col("html"), F.col("url")).alias("md"))
 
 
-@query("html_links", f"""SELECT doc_id, '[Link ' || CAST(doc_id AS STRING) || '](https://' || regexp_extract(url, '://([^/]*)', 1) || '/x/' || CAST(doc_id AS STRING) || ')' AS link, '![](' || regexp_replace(url, '[^/]*$', '') || 'q.png)' AS image FROM ({PAGES})""")
+@query("html_links", f"""WITH m AS ({markdown_sql()}), l AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(md, '!?\\[[^\\[\\]]*\\]\\([^()\\s]*\\)'))) AS link FROM m) SELECT doc_id, link FROM l""")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-HTML-5, 6, 9."""
-    x = html.images(html.links(F.col("html"), F.col("url")), F.col("url"))
-    return pages(spark, sf_dir).select("doc_id", x.alias("x")).select("doc_id", F.regexp_extract("x", r"(\[Link[^)]*\))", 1).alias("link"), F.regexp_extract("x", r"(!\[\]\([^)]*\))", 1).alias("image"))
+    """O-HTML-5, 6, 9: the links and images of the converted pages."""
+    md = pages(spark, sf_dir).select("doc_id", html.document(F.col("html"), F.col("url")).alias("md"))
+    return md.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("md", F.lit(r"(!?\[[^\[\]]*\]\([^()\s]*\))"), F.lit(1)))).alias("link"))
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +329,15 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, INJECTED, "documents").select("doc_id", textops.clean_text(F.col("t")).alias("t"))
 
 
-@query("reflow")
+STOP_SQL = r"""regexp_matches({0}, '[.!?:")]$')"""
+OPEN_SQL = f"i > 1 AND ls[i - 1] <> '' AND NOT {STOP_SQL.format('ls[i - 1]')}"
+
+
+@query("reflow", rf"""WITH t AS (SELECT DISTINCT extraction_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS t FROM extractions WHERE kind = 'pdf' AND text IS NOT NULL),
+    l AS (SELECT extraction_id, t, [{trim_sql('y')} FOR y IN string_split(t, chr(10))] AS ls FROM t),
+    j AS (SELECT extraction_id, t, regexp_replace(array_to_string(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN ls[i] = '' THEN CASE WHEN {OPEN_SQL} THEN chr(10) || chr(10) ELSE chr(10) END
+        ELSE CASE WHEN {OPEN_SQL} THEN ' ' ELSE '' END || ls[i] || CASE WHEN {STOP_SQL.format('ls[i]')} THEN chr(10) ELSE '' END END), ''), '\n$', '') AS j FROM l)
+    SELECT extraction_id, regexp_replace(CASE WHEN suffix(t, chr(10)) THEN regexp_replace(j, '\n$', '') ELSE j END, '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM j""")
 def reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-TXT-2."""
     return table(spark, sf_dir, "extractions").where("kind = 'pdf' and text is not null").select("extraction_id", textops.reflowed(F.col("text")).alias("t")).distinct()
@@ -277,27 +349,40 @@ def restored_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", textops.restored_breaks(F.concat("text", F.lit(" 12 — next → go Update May 3, x"))).alias("t"))
 
 
-METRICS = """SELECT doc_id, coalesce(text, '') || chr(10) || '14' || chr(10) || '1.9M' || chr(10) || chr(10) || 'Views' || chr(10) || 'Read 7 replies' || chr(10) || 'tail' || chr(10) || '12' || chr(10) || 'last' AS t FROM documents"""
+METRICS = """SELECT doc_id, coalesce(text, '') || chr(10) || '14' || chr(10) || CASE doc_id % 3 WHEN 0 THEN '1.9M' WHEN 1 THEN '> Views' ELSE 'words' END || chr(10) || chr(10) || 'Views' || chr(10) || 'Read 7 replies' || chr(10) || 'tail' || chr(10) || '12' || chr(10) || CASE doc_id % 2 WHEN 0 THEN chr(10) || chr(10) || 'May 3' ELSE 'last' END AS t FROM documents"""
+BARE_SQL = trim_sql("regexp_replace(" + trim_sql("y") + r", '^(?:>\s*)+', '')")
 
 
-@query("metric_strip")
+@query("metric_strip", rf"""WITH t AS ({METRICS}), l AS (SELECT doc_id, string_split(t, chr(10)) AS ls FROM t),
+    f AS (SELECT doc_id, ls, [{BARE_SQL} FOR y IN ls] AS bs, [{trim_sql('y')} FOR y IN ls] AS ts FROM l),
+    m AS (SELECT doc_id, ls, array_to_string(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN bs[i] <> '' AND (regexp_matches(bs[i], '{textops.METRIC_LINE}') OR list_contains([{", ".join("'" + w + "'" for w in textops.METRIC_WORDS)}], bs[i])) THEN 'm' WHEN ts[i] IN ('', '>') THEN 'b' ELSE 't' END), '') AS marks FROM f),
+    x AS (SELECT doc_id, ls, array_to_string([CASE WHEN length(g) > 1 AND g[1] = 'm' THEN repeat('x', length(g)) ELSE g END FOR g IN regexp_extract_all(marks, 'm(?:b?m)+|.')], '') AS marks FROM m),
+    k AS (SELECT doc_id, array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF marks[i] <> 'x'], chr(10)) AS t FROM x)
+    SELECT doc_id, {trim_sql("regexp_replace(t, '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g')")} || chr(10) AS t FROM k""")
 def metric_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-TXT-6."""
     return derived(spark, sf_dir, METRICS, "documents").select("doc_id", textops.without_metrics(F.col("t")).alias("t"))
 
 
-@query("chrome_cut", """SELECT doc_id, regexp_replace(coalesce(text, '') || chr(10) || 'kept', '\\s+$', '') || chr(10) AS t FROM documents""")
+CHROME = """SELECT doc_id, coalesce(text, '') || chr(10) || 'kept ' || chr(10) || CASE doc_id % 4 WHEN 0 THEN '- Trending now' WHEN 1 THEN 'Who to follow' WHEN 2 THEN 'Show more' || chr(10) || 'Terms' ELSE 'nothing of that' END || chr(10) || 'x' || chr(10) || 'Read 3 replies' || CASE WHEN doc_id % 8 > 5 THEN ' more' ELSE '' END || chr(10) AS t FROM documents"""
+CHROME_AT = "(?m)(?:" + "|".join([*(r"^(?:-\s+)?" + p for p in textops.CHROME_STARTS), r"^Show more$\nTerms"]).replace("'", "''") + ")"
+
+
+@query("chrome_cut", rf"""WITH t AS ({CHROME}), h AS (SELECT doc_id, t, string_split_regex(t, '{CHROME_AT}')[1] AS head FROM t)
+    SELECT doc_id, CASE WHEN head <> t THEN regexp_replace(head, '\s+$', '') || chr(10) ELSE t END AS t FROM h""")
 def chrome_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-TXT-7."""
-    t = F.concat(F.coalesce("text", F.lit("")), F.lit("\nkept\n- Trending now\nx\nWho to follow\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", textops.cut_at_chrome(t).alias("t"))
+    return derived(spark, sf_dir, CHROME, "documents").select("doc_id", textops.cut_at_chrome(F.col("t")).alias("t"))
+
 
+BROKEN = """SELECT doc_id, coalesce(text, '') || ' see https://' || chr(10) || 'e.example' || chr(10) || '/a' || CAST(doc_id AS STRING) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '/b' || chr(10) ELSE '' END || chr(10) || 'then http://y.example/' || coalesce(lang, 'z') || '… more http://' || chr(10) || 'two words' || chr(10) AS t FROM documents"""
 
-@query("broken_urls", """SELECT doc_id, 'see https://e.example/a' || CAST(doc_id AS STRING) || '/b' || chr(10) || 'then http://y.example/z more' AS t FROM documents""")
+
+@query("broken_urls", rf"""WITH t AS ({BROKEN})
+    SELECT doc_id, regexp_replace(list_reduce(list_prepend(t, list_distinct(regexp_extract_all(t, 'https?://\n(?:[a-zA-Z0-9._/\-?=&%#~+]+\n){{1,6}}'))), lambda acc, m: replace(acc, m, replace(m, chr(10), ''))), '(https?://\S+)…', '\1', 'g') AS t FROM t""")
 def broken_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-TXT-8. The last joined line's feed goes, as its text stands before a new line."""
-    t = F.concat(F.lit("see https://\ne.example\n/a"), F.col("doc_id").cast("string"), F.lit("\n/b\n\nthen http://y.example/z… more"))
-    return table(spark, sf_dir, "documents").select("doc_id", textops.joined_urls(t).alias("t"))
+    """O-TXT-8."""
+    return derived(spark, sf_dir, BROKEN, "documents").select("doc_id", textops.joined_urls(F.col("t")).alias("t"))
 
 
 @query("merge_inline")
@@ -320,7 +405,14 @@ def scalar_cleanups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("notebook_name")
+def short_sql(title: str, most: str) -> str:
+    """A title within a limit, as short_name has it."""
+    stop = f"list_max([i FOR i IN range(CAST(floor(({most} - 1) * 0.8) AS BIGINT), {most}) IF substring({title}, i + 1, 1) IN (':', '—', '|', ',', '。')])"
+    space = f"list_max([i FOR i IN range(1, {most}) IF regexp_matches(substring({title}, i + 1, 1), '^\\s$')])"
+    return f"CASE WHEN length({title}) <= {most} THEN {title} ELSE CASE WHEN {stop} IS NOT NULL THEN rtrim(left({title}, {stop} + 1)) WHEN {space} IS NOT NULL THEN rtrim(left({title}, {space})) ELSE left({title}, {most} - 1) END || '…' END"
+
+
+@query("notebook_name", f"""SELECT DISTINCT title, {short_sql('title', '24')} AS short, concat_ws(' • ', 'quillmesh[t] ', {short_sql('title', 'greatest(20, 60 - length(' + chr(39) + 'quillmesh[t] ' + chr(39) + ') - 9 - 11 - 10)')}, 'abcdefgh123', '2024-05-06') AS name FROM extractions WHERE title IS NOT NULL""")
 def notebook_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-TXT-11, 12."""
     d = table(spark, sf_dir, "extractions").where("title is not null")
@@ -370,7 +462,10 @@ def gap_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.paragraphs(derived(spark, sf_dir, VTT, "segments"), "extraction_id", "seq", "text", "start_ms", "end_ms")
 
 
-@query("transcript_slices")
+@query("transcript_slices", rf"""WITH e AS (SELECT DISTINCT extraction_id, text, duration_ms FROM extractions WHERE text IS NOT NULL AND duration_ms IS NOT NULL),
+    p AS (SELECT extraction_id, duration_ms, [x FOR x IN [{trim_sql('y')} FOR y IN string_split_regex(text, '\n[ \t]*\n+')] IF x <> ''] AS ps FROM e),
+    u AS (SELECT extraction_id, duration_ms, ps, CAST(floor(duration_ms / len(ps)) AS BIGINT) AS part, unnest(range(0, len(ps))) AS i FROM p)
+    SELECT extraction_id, CAST(i AS INTEGER) AS i, i * part AS start_ms, CASE WHEN i = len(ps) - 1 THEN duration_ms ELSE (i + 1) * part END AS end_ms, ps[i + 1] AS text FROM u""")
 def transcript_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-SEG-5."""
     e = table(spark, sf_dir, "extractions").where("text is not null and duration_ms is not null").dropDuplicates(["extraction_id"])
@@ -399,12 +494,15 @@ def track_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("video", F.size(langs).cast("bigint").alias("n"), F.array_join(F.transform(langs, lambda x: x["lang"]), ",").alias("langs"))
 
 
-@query("video_meta", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS posted, CAST(round_even(o_totalprice * 1000, 0) AS BIGINT) AS duration_ms,
-    CASE WHEN regexp_matches(lower(o_orderpriority), 'private|age|members-only|sign in|unavailable in your country') THEN 40 ELSE 10 END AS exit_code FROM orders""")
+MESSAGES = """SELECT o_orderkey, o_orderdate, o_totalprice, CASE o_orderkey % 5 WHEN 0 THEN 'This video is PRIVATE: ' WHEN 1 THEN 'Members-only content, ' WHEN 2 THEN 'Video unavailable in your country ' ELSE 'Connection reset ' END || o_orderpriority AS message FROM orders"""
+
+
+@query("video_meta", f"""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS posted, CAST(round_even(o_totalprice * 1000, 0) AS BIGINT) AS duration_ms,
+    CASE WHEN regexp_matches(lower(message), 'private|age|members-only|sign in|unavailable in your country') THEN 40 ELSE 10 END AS exit_code FROM ({MESSAGES})""")
 def video_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-SEG-8, 9."""
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", captions.iso_day(F.date_format("o_orderdate", "yyyyMMdd")).alias("posted"), captions.whole_ms(F.col("o_totalprice")).alias("duration_ms"), captions.restriction_exit(F.col("o_orderpriority")).alias("exit_code"))
+    o = derived(spark, sf_dir, MESSAGES, "orders")
+    return o.select("o_orderkey", captions.iso_day(F.date_format("o_orderdate", "yyyyMMdd")).alias("posted"), captions.whole_ms(F.col("o_totalprice")).alias("duration_ms"), captions.restriction_exit(F.col("message")).alias("exit_code"))
 
 
 PAGED = f"SELECT extraction_id, seq, seq // 4 AS page, text FROM ({VTT})"
@@ -427,14 +525,31 @@ def success_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", sinks.markdown_body(t, F.coalesce("title", F.lit(""))).alias("body"), sinks.whole_seconds(F.col("doc_id") * 500).alias("seconds"))
 
 
-@query("success_files")
+def scalar_sql(v: str) -> str:
+    return rf"CASE WHEN regexp_matches({v}, '^\p{{L}}(?:[\p{{L}}\p{{N}} _-]*[\p{{L}}\p{{N}}_-])?$') AND lower({v}) NOT IN ('true', 'false', 'null', 'yes', 'no', 'on', 'off') THEN {v} ELSE CAST(to_json({v}) AS VARCHAR) END"
+
+
+def front_sql(*fields: tuple[str, str, bool]) -> str:
+    """Front matter from (name, value, whether it is a string)."""
+    return "'---' || chr(10) || " + " || ".join(f"coalesce(CASE WHEN CAST({v} AS VARCHAR) <> '' THEN '{k}: ' || {scalar_sql(v) if text else f'CAST({v} AS VARCHAR)'} || chr(10) END, '')" for k, v, text in fields) + " || '---' || chr(10)"
+
+
+NAMED = "e AS (SELECT * REPLACE (coalesce(slug, 'none') || '--' || CAST(extraction_id AS STRING) AS slug) FROM extractions QUALIFY row_number() OVER (PARTITION BY extraction_id ORDER BY arrived_at) = 1)"
+HEAD = front_sql(*[(n, n, True) for n in ("source", "source_id", "title", "slug", "author")], ("duration_seconds", "CAST(round_even(duration_ms / 1000, 0) AS BIGINT)", False), ("posted", "posted", True), ("kind", "kind", True), ("extractor_detail", "regexp_replace(regexp_replace(to_json({'extractor': extractor.extractor, 'structured': extractor.structured, 'ext': extractor.ext, 'caption_lang': extractor.caption_lang, 'caption_source': extractor.caption_source}), '\"[a-z_]+\":null,', '', 'g'), ',\"[a-z_]+\":null', '', 'g')", False), ("language", "language", True), ("extracted_at", "extracted_at", True), ("status", "'success'", True))
+STUB = front_sql(*[(n, n, True) for n in ("source", "source_id", "slug", "kind", "title")], ("status", "'failed'", True), ("exit_code", "exit_code", False), ("extractor_attempted", "to_json(CASE WHEN kind IS NULL THEN [] ELSE [kind] END)", False), ("error", "error", True), ("attempted_at", "extracted_at", True))
+
+
+@query("success_files", rf"""WITH {NAMED}, b AS (SELECT *, {trim_sql('text')} AS b FROM e WHERE status = 'success')
+    SELECT slug, {HEAD} || CASE WHEN b = '' THEN '' WHEN regexp_matches(b, '^#{{1,6}}\s') THEN chr(10) || b || chr(10) ELSE chr(10) || '# ' || title || chr(10) || chr(10) || b || chr(10) END AS md,
+        CAST(to_json({{'status': status, 'kind': kind, 'extractor_detail': extractor, 'metadata': {{'source': source, 'source_id': source_id, 'title': title, 'slug': slug, 'author': author, 'duration_ms': duration_ms, 'posted': posted, 'language': language}}, 'text': text, 'segments': segments, 'extracted_at': extracted_at}}) AS VARCHAR) AS json FROM b""")
 def success_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-SINK-1, 2: front matter with body, and the JSON payload."""
-    e = table(spark, sf_dir, "extractions").dropDuplicates(["extraction_id"]).withColumn("slug", F.concat("slug", F.lit("--"), F.col("extraction_id").cast("string")))
+    e = table(spark, sf_dir, "extractions").dropDuplicates(["extraction_id"]).withColumn("slug", F.concat(F.coalesce("slug", F.lit("none")), F.lit("--"), F.col("extraction_id").cast("string")))
     return sinks.success_markdown(e).join(sinks.success_json(e), "slug")
 
 
-@query("failure_stubs")
+@query("failure_stubs", rf"""WITH {NAMED} SELECT slug, {STUB} || chr(10) || '(no body - extraction failed; run again with force)' || chr(10) AS md,
+    CAST(to_json({{'status': status, 'kind': kind, 'source': source, 'source_id': source_id, 'slug': slug, 'title': nullif(title, ''), 'exit_code': exit_code, 'extractor_attempted': CASE WHEN kind IS NULL THEN [] ELSE [kind] END, 'error': error, 'attempted_at': extracted_at}}) AS VARCHAR) AS json FROM e WHERE status = 'failed'""")
 def failure_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-SINK-3, O-FILE-19, 20."""
     e = table(spark, sf_dir, "extractions").dropDuplicates(["extraction_id"]).withColumn("slug", F.concat(F.coalesce("slug", F.lit("none")), F.lit("--"), F.col("extraction_id").cast("string")))
