@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.runtime import blocked_last, cut
 
-PLACES = 1000  # pieces that one cue can be cut into
+PLACES = 1 << 24  # more than the pieces of any cue, whose text would be tens of megabytes; positions stay below 2^63 for 2^38 cues
 
 # Words that carry no content in speech, by language.
 FILLERS = (
@@ -113,11 +113,11 @@ def speaker_turns(segments: DataFrame, casts: DataFrame, speakers: DataFrame) ->
         "extraction_id", "start_ms", "end_ms", (F.col("seq") * PLACES * 2 + F.col("place") * 2 + F.col("h.half")).alias("at"), "h.speaker", clean_words(F.col("h.words")).alias("words")
     )
     halves = cut(halves.where("speaker is not null or words <> ''"))
-    filled = blocked_last(halves, ["extraction_id"], "at", F.col("speaker"), "speaker_id", block=4096 * PLACES)
+    filled = blocked_last(halves, ["extraction_id"], "at", F.col("speaker"), "speaker_id", block=8192 * PLACES)
     spoken = cut(filled.where(F.col("speaker_id").isNotNull() & F.col("words").rlike(r"[\p{L}\p{N}]")).drop("speaker"))
-    previous = blocked_last(spoken, ["extraction_id"], "at", F.col("speaker_id"), "previous", block=4096 * PLACES, include_self=False)
+    previous = blocked_last(spoken, ["extraction_id"], "at", F.col("speaker_id"), "previous", block=8192 * PLACES, include_self=False)
     begin = cut(previous.withColumn("begins", F.when(F.col("previous").isNull() | (F.col("previous") != F.col("speaker_id")), F.col("at"))).drop("previous"))
-    islands = blocked_last(begin, ["extraction_id"], "at", F.col("begins"), "turn", block=4096 * PLACES)
+    islands = blocked_last(begin, ["extraction_id"], "at", F.col("begins"), "turn", block=8192 * PLACES)
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"]), " ")
     turns = islands.groupBy("extraction_id", "turn", "speaker_id").agg(F.min_by("start_ms", "at").alias("start_ms"), F.max_by("end_ms", "at").alias("end_ms"), said.alias("text"))
     return turns.select("extraction_id", F.col("turn").alias("turn_no"), "start_ms", "end_ms", "speaker_id", "text")

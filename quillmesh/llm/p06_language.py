@@ -24,7 +24,7 @@ SPELLINGS = {
     "pt": "pt por portuguese português portugues", "nl": "nl nld dut dutch nederlands", "ru": "ru rus russian русский",
 }
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"(?<![\d_])\b[^\W\d_]+\b(?![\d_])")  # letters beside digits are codes, not words
 BREAK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 
 

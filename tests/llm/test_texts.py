@@ -152,6 +152,9 @@ def test_language_held_out(spark):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "extraction_id long, language string, text string, lang string, k int")
     got = {(r.extraction_id, r.para_no): (r.lang, r.stated) for r in p06_language.languages(df, model).collect()}
     assert got == {(1, -1): ("en", "en"), (1, 1): ("de", "en"), (2, -1): ("es", None), (6, -1): ("de", "de")}
+    code = "".join(rng.choice("0123456789abcdef") for _ in range(4000))  # its single letters are no words
+    coded = spark.createDataFrame([(7, "de", sentence("de", rng) + f"\n\n{code}\n\n" + sentence("de", rng))], "extraction_id long, language string, text string")
+    assert {(r.para_no, r.lang) for r in p06_language.languages(coded, model).collect()} == {(-1, "de")}
     assert p06_language.languages(df.limit(0), model).count() == 0
     assert p06_language.identify(df.limit(0)).count() == 0
 
