@@ -40,7 +40,7 @@ def links(df: DataFrame, key: str, seq: str, text: str, start: str, end: str) ->
     )
     block = F.floor(F.col("s") / BLOCK)
     w = Window.partitionBy("k", "b").orderBy("s", "t")
-    once = rows.withColumn("b", block).withColumn("again", F.lag("s").over(w) == F.col("s")).where(~F.coalesce("again", F.lit(False))).drop("again")
+    once = cut(rows.withColumn("b", block).withColumn("again", F.lag("s").over(w) == F.col("s")).where(~F.coalesce("again", F.lit(False))).drop("again"))  # read and compared once
     here = F.struct("s", "t", "a")
     inside = once.withColumn("p", F.lag(here).over(w))
     tails = once.groupBy("k", "b").agg(F.max(here).alias("tail"))
