@@ -281,6 +281,6 @@ def assembled(df: DataFrame, stem: str = "stem") -> DataFrame:
     return df.select(
         *[c for c in df.columns if c not in ("file", "content")],
         F.when(ok, "success").otherwise("failed").alias("status"), F.when(ok, F.coalesce(blank_to_null(f["title"]), F.col(stem))).otherwise("").alias("title"), F.when(ok, blank_to_null(f["authors"])).alias("author"),
-        F.when(ok, f["text"]).otherwise("").alias("text"), F.when(ok, unit_segments(f["units"])).alias("segments"), F.when(ok, detail).alias("extractor"),
+        F.when(ok, f["text"]).otherwise("").alias("text"), F.when(ok, F.coalesce(unit_segments(f["units"]), F.array().cast("array<struct<start_ms:bigint,end_ms:bigint,text:string>>"))).alias("segments"), F.when(ok, detail).alias("extractor"),
         F.when(~ok, F.coalesce(f["error"], F.lit("no text found"))).alias("error"), F.when(ok, 0).when(f["error"].isNotNull(), 10).otherwise(30).alias("exit_code"),
     )

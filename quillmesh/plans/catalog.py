@@ -6,15 +6,21 @@ SQL text that Spark and the other engine read alike.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
+from html import escape as html_escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmesh.functions import urls
 from quillmesh.functions.text import trimmed
 from quillmesh.operators import captions, detect, files, html, identity, sinks, social, tables, textops
 from quillmesh.runtime import once, table
+from quillmesh.sources import linked_texts
 
 SOURCES = """
     SELECT doc_id, CASE doc_id % 20
@@ -296,14 +302,14 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return md.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("md", F.lit(r"(!?\[[^\[\]]*\]\([^()\s]*\))"), F.lit(1)))).alias("link"))
 
 
-def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(raw, vtt, transcript, title, duration_s) of the youtube extractions, with caption files made of their segments."""
+def videos(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(raw, vtt, transcript, title, duration_s, and more columns asked for) of the youtube extractions, with caption files made of their segments."""
     stamp = lambda ms: F.concat(F.lpad(F.floor(F.col(ms) / 3600000).cast("string"), 2, "0"), F.lit(":"), F.date_format(F.timestamp_millis(F.col(ms) % 3600000), "mm:ss.SSS"))
     cue = F.concat(stamp("start_ms"), F.lit(" --> "), stamp("end_ms"), F.lit("\n"), F.regexp_replace("text", r"\n+", " "))
     cues = derived(spark, sf_dir, VTT, "segments").groupBy("extraction_id").agg(F.array_sort(F.collect_list(F.struct("seq", cue.alias("cue")))).alias("cues"))
     file = F.concat(F.lit("WEBVTT\n\n"), F.array_join("cues.cue", "\n\n"), F.lit("\n"))
     v = table(spark, sf_dir, "extractions").where("kind = 'youtube'").select("extraction_id", F.concat(F.lit("https://www.youtube.com/watch?v="), "source_id").alias("raw"), F.col("text").alias("transcript"), "title", (F.col("duration_ms") / 1000).alias("duration_s"))
-    return v.dropDuplicates(["extraction_id"]).join(cues.select("extraction_id", file.alias("vtt")), "extraction_id", "left").drop("extraction_id")
+    return v.dropDuplicates(["extraction_id"]).join(cues.select("extraction_id", file.alias("vtt")), "extraction_id", "left").drop(*[c for c in ("extraction_id",) if c not in more])
 
 
 @query("flagship")
@@ -588,20 +594,29 @@ def final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.final_state(table(spark, sf_dir, "extract_log"))
 
 
-@query("thread_images", """SELECT doc_id, CAST(3 AS BIGINT) AS n_images, true AS first_kept, false AS second_kept FROM documents""")
+IMAGES = """SELECT doc_id, 'https://pbs.twimg.com/media/' || coalesce(lang, 'x') || CAST(doc_id % 7 AS STRING) || '?x=1' AS a, 'https://pbs.twimg.com/media/' || coalesce(lang, 'x') || CAST(doc_id % 5 AS STRING) || '&y=2' AS b, 'https://img.example/' || CAST(doc_id % 3 AS STRING) || '.png' AS c FROM documents"""
+KEY_SQL = "coalesce(nullif(regexp_extract({0}, 'pbs[.]twimg[.]com/media/([A-Za-z0-9_-]+)', 1), ''), {0})"
+
+
+@query("thread_images", f"""SELECT doc_id, CAST(len(list_distinct([a, b, a, c])) AS BIGINT) AS n_images, ka <> kb AS first_kept, NOT list_contains(CASE WHEN ka = kb THEN [ka] ELSE [ka, kb] END, kc) AND kc <> ka AND NOT list_contains(CASE WHEN ka = kb THEN [ka] ELSE [ka, kb] END, ka) AS second_kept
+    FROM (SELECT *, {KEY_SQL.format('a')} AS ka, {KEY_SQL.format('b')} AS kb, {KEY_SQL.format('c')} AS kc FROM ({IMAGES}))""")
 def thread_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-X-3, 6."""
-    u = lambda k: F.concat(F.lit("https://pbs.twimg.com/media/"), F.lit(k), F.col("doc_id").cast("string"), F.lit("?x=1"))
-    kept = social.sections_without_repeats(F.array(F.array(u("a"), u("b")), F.array(u("c"), F.concat(u("a"), F.lit("&y=2")))))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(social.image_list(F.array(u("a"), u("b"), u("a"), u("c")))).cast("bigint").alias("n_images"), F.get(kept, 0).alias("first_kept"), F.get(kept, 1).alias("second_kept"))
+    """O-X-3, 6: the second section repeats the first one's first image."""
+    d = derived(spark, sf_dir, IMAGES, "documents")
+    kept = social.sections_without_repeats(F.array(F.array("a", "b"), F.array("c", "a")))
+    return d.select("doc_id", F.size(social.image_list(F.array("a", "b", "a", "c"))).cast("bigint").alias("n_images"), F.get(kept, 0).alias("first_kept"), F.get(kept, 1).alias("second_kept"))
+
+
+ENTRIES = """SELECT doc_id, coalesce(replace(title, chr(10), ' '), '') || CASE doc_id % 3 WHEN 0 THEN ' @bob said' ELSE ' said' END || chr(10) || coalesce(lang, 'rest') AS one, 'quoted ' || CAST(doc_id AS STRING) || chr(10) || chr(10) || coalesce(source, 'end') AS two, CASE WHEN doc_id % 2 = 0 THEN coalesce(item_id, '') ELSE '' END AS three FROM documents"""
 
 
-@query("thread_text", """SELECT doc_id, 'Main @bob said' || chr(10) || chr(10) || '> quoted ' || CAST(doc_id AS STRING) || chr(10) || '>' || chr(10) || '> end' || chr(10) || 'rest' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'other' AS t FROM documents""")
+@query("thread_text", f"""WITH e AS ({ENTRIES}), q AS (SELECT *, array_to_string([CASE WHEN y = '' THEN '>' ELSE '> ' || y END FOR y IN string_split(two, chr(10))], chr(10)) AS quote FROM e),
+    u AS (SELECT *, CASE WHEN contains(string_split(one, chr(10))[1], '@bob') THEN string_split(one, chr(10))[1] || chr(10) || chr(10) || quote || chr(10) || string_split(one, chr(10))[2] ELSE one || chr(10) || chr(10) || '---' || chr(10) || chr(10) || two END AS t FROM q)
+    SELECT doc_id, CASE WHEN three = '' THEN t ELSE t || chr(10) || chr(10) || '---' || chr(10) || chr(10) || three END AS t FROM u""")
 def thread_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-X-2, 4."""
-    entry = lambda h, s: F.struct(F.lit(h).cast("string").alias("handle"), s.alias("section"))
-    entries = F.array(entry("ann", F.lit("Main @bob said\nrest")), entry("bob", F.concat(F.lit("quoted "), F.col("doc_id").cast("string"), F.lit("\n\nend"))), entry(None, F.lit("other")), entry("x", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", social.thread_text(entries).alias("t"))
+    """O-X-2, 4: a second entry is quoted under the line that names its handle, others are appended."""
+    entry = lambda h, c: F.struct(F.lit(h).cast("string").alias("handle"), F.col(c).alias("section"))
+    return derived(spark, sf_dir, ENTRIES, "documents").select("doc_id", social.thread_text(F.array(entry("ann", "one"), entry("bob", "two"), entry(None, "three"))).alias("t"))
 
 
 @query("thread_body")
@@ -613,12 +628,89 @@ def thread_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.get(social.body_items(items), 0)["value"].alias("lead"), social.handle_of(items).alias("handle"), textops.conversation_part(F.concat(F.lit("Conversation\n"), F.coalesce("text", F.lit("")), F.lit("\nShow this thread"))).alias("part"))
 
 
-@query("short_links", """SELECT doc_id, 'see https://long.example/' || CAST(doc_id % 10 AS STRING) || ' and https://t.co/none' AS t FROM documents""")
+LINKED = """SELECT doc_id, coalesce(text, '') || ' see https://t.co/k' || CAST(doc_id % 50 AS STRING) || ' and https://t.co/none' || CAST(doc_id AS STRING) || ', https://t.co/k' || CAST(doc_id % 7 AS STRING) AS t FROM documents"""
+TARGETS = """SELECT DISTINCT 'https://t.co/k' || CAST(doc_id % 40 AS STRING) AS link, 'https://long.example/' || CAST(doc_id % 40 AS STRING) AS target FROM documents"""
+
+
+@query("short_links", f"""WITH l AS ({LINKED}), u AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, 'https?://t[.]co/\\w+'))) AS link FROM l), k AS (SELECT doc_id, link, target FROM u JOIN ({TARGETS}) USING (link)),
+    g AS (SELECT doc_id, list({{'a': link, 'b': target}} ORDER BY length(link) DESC) AS ks FROM k GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN ks IS NULL THEN t ELSE list_reduce(list_prepend(t, [x.a || ' ' || x.b FOR x IN ks]), lambda acc, x: regexp_replace(acc, string_split(x, ' ')[1] || '\\b', string_split(x, ' ')[2], 'g')) END AS t FROM l LEFT JOIN g USING (doc_id)""")
 def short_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-SRC-16 with a given lookup."""
-    known = F.create_map(*[x for i in range(10) for x in (F.lit(f"https://t.co/k{i}"), F.lit(f"https://long.example/{i}"))])
-    t = F.concat(F.lit("see https://t.co/k"), (F.col("doc_id") % 10).cast("string"), F.lit(" and https://t.co/none"))
-    return table(spark, sf_dir, "documents").select("doc_id", textops.with_links(t, known).alias("t"))
+    """O-SRC-16: links resolved by a table."""
+    return linked_texts(derived(spark, sf_dir, LINKED, "documents"), derived(spark, sf_dir, TARGETS, "documents"), "doc_id", "t")
+
+
+def _pages_engine(data: bytes) -> dict:
+    """Stands in for a page engine: a page for each stretch up to a full stop and a space, some numbered from a start of their own."""
+    parts = data.decode().split(". ")
+    return {"tier": "pymupdf4llm", "chunks": [{"text": p, "metadata": {"page": i + len(parts)} if len(parts) % 2 else {"page_number": i + 1}} for i, p in enumerate(parts)]}
+
+
+@query("engine_pages", """WITH p AS (SELECT DISTINCT extraction_id, string_split(text, '. ') AS ps FROM extractions WHERE status = 'success' AND kind = 'pdf' AND regexp_matches(text, '\\S')),
+    u AS (SELECT extraction_id, len(ps) AS n, unnest(range(0, len(ps))) AS i, unnest(ps) AS x FROM p), t AS (SELECT extraction_id, n, i, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS x FROM u), k AS (SELECT * FROM t WHERE x <> '')
+    SELECT extraction_id, CAST(row_number() OVER (PARTITION BY extraction_id ORDER BY i) - 1 AS INTEGER) AS segment, CAST(CASE WHEN n % 2 = 1 THEN i + n + 1 ELSE i + 1 END AS INTEGER) AS page, x AS text, 'pymupdf4llm' AS extractor FROM k""")
+def engine_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-FILE-2, 11, 14, O-EXT-4: PDFs by an engine handed to the workers, exploded into their pages with locators."""
+    from quillmesh.plans.pipeline import Engine
+
+    e = table(spark, sf_dir, "extractions").where("status = 'success' and kind = 'pdf'").where(F.col("text").rlike(r"\S")).select("extraction_id", "text").distinct()
+    s = e.select(F.concat(F.lit("/scans/"), F.col("extraction_id").cast("string"), F.lit(".pdf")).alias("raw"), F.col("text").cast("binary").alias("content"))
+    got = Engine(engines={"pdf": [_pages_engine]}).run(s, provider="pdf")
+    pages_ = got.select(F.regexp_extract("raw", r"(\d+)\.pdf$", 1).cast("bigint").alias("extraction_id"), "extractor", F.explode(F.arrays_zip("segments", F.col("detail.locators").alias("locators"))).alias("z"))
+    return pages_.select("extraction_id", "z.locators.segment", "z.locators.page", "z.segments.text", "extractor")
+
+
+@query("engine_cues", f"""WITH y AS (SELECT DISTINCT extraction_id FROM extractions WHERE kind = 'youtube'), s AS (SELECT s.* FROM ({VTT}) s JOIN y USING (extraction_id)),
+    c AS (SELECT extraction_id, seq, start_ms, end_ms, {trim_sql(decoded_sql("regexp_replace(regexp_replace(text, '" + chr(92) + "n+', ' ', 'g'), '<[^>]+>', '', 'g')").replace(", '&nbsp;', ' ')", ", '', '')"))} AS text FROM s), k AS (SELECT * FROM c WHERE text <> ''),
+    f AS (SELECT *, CASE WHEN lag(text) OVER (PARTITION BY extraction_id ORDER BY seq) = text THEN 0 ELSE 1 END AS new FROM k), r AS (SELECT *, sum(new) OVER (PARTITION BY extraction_id ORDER BY seq) AS run FROM f)
+    SELECT extraction_id, CAST(run - 1 AS INTEGER) AS segment, arg_min(start_ms, seq) AS start_ms, arg_max(end_ms, seq) AS end_ms, any_value(text) AS text FROM r GROUP BY extraction_id, run""")
+def engine_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-SEG-2, 3, 10: videos through the engine, exploded into their cues."""
+    from quillmesh.plans.pipeline import Engine
+
+    v = videos(spark, sf_dir, "extraction_id").select(F.concat(F.lit("https://youtu.be/"), F.lpad(F.col("extraction_id").cast("string"), 11, "0")).alias("raw"), "vtt")
+    got = Engine().run(v.where("vtt is not null"), provider="youtube").where("extractor = 'captions'")
+    cues = got.select(F.regexp_extract("raw", r"(\d+)$", 1).cast("bigint").alias("extraction_id"), F.posexplode("segments").alias("segment", "s"))
+    return cues.select("extraction_id", "segment", "s.start_ms", "s.end_ms", "s.text")
+
+
+@F.pandas_udf(T.BinaryType())
+def _office_file(form: pd.Series, title: pd.Series, slug: pd.Series, kind: pd.Series) -> pd.Series:
+    """A small document, slide show or workbook of the values."""
+
+    def made(form: str, *values: str) -> bytes:
+        t, s, k = (html_escape(v) for v in values)
+        grid = "".join(f"<tr>{''.join(f'<tc><p><r><t>{x}</t></r></p></tc>' for x in row)}</tr>" for row in (("kind", "slug"), (k, s)))
+        entries = {
+            "docx": {"word/document.xml": f'<document xmlns:w="w"><body><p><pPr><pStyle w:val="Heading2"/></pPr><r><t>{t}</t></r></p><p><r><t>{s}</t></r></p><tbl>{grid}</tbl></body></document>'},
+            "pptx": {"ppt/slides/slide1.xml": f"<sld><sp><txBody><p><r><t>{t}</t></r></p><p><r><t>{s}</t></r></p></txBody></sp></sld>", "ppt/slides/slide2.xml": f"<sld><graphicFrame><tbl>{grid}</tbl></graphicFrame></sld>"},
+            "xlsx": {"xl/workbook.xml": f'<workbook><sheets><sheet name="{k}"/></sheets></workbook>', "xl/worksheets/sheet1.xml": f'<worksheet><row><c r="A1" t="inlineStr"><is><t>{t}</t></is></c><c r="B1"><v>7</v></c></row><row><c r="B2" t="inlineStr"><is><t>{s}</t></is></c></row></worksheet>'},
+        }[form]
+        b = io.BytesIO()
+        with zipfile.ZipFile(b, "w") as z:
+            for name, text in entries.items():
+                z.writestr(name, text)
+        return b.getvalue()
+
+    return pd.Series([made(*values) for values in zip(form, title, slug, kind, strict=True)])
+
+
+OFFICE = """SELECT DISTINCT extraction_id, CASE extraction_id % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'pptx' ELSE 'xlsx' END AS form, trim(title) AS title, slug, kind FROM extractions WHERE title IS NOT NULL AND trim(title) <> '' AND slug IS NOT NULL AND slug <> '' AND kind IS NOT NULL"""
+GRID_SQL = "'| kind | slug |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || kind || ' | ' || slug || ' |'"
+
+
+@query("office_text", f"""SELECT extraction_id, CASE form WHEN 'docx' THEN '## ' || title || chr(10) || chr(10) || slug || chr(10) || chr(10) || {GRID_SQL}
+    WHEN 'pptx' THEN '## Slide 1' || chr(10) || chr(10) || title || chr(10) || slug || chr(10) || chr(10) || '## Slide 2' || chr(10) || chr(10) || {GRID_SQL}
+    ELSE '## ' || kind || chr(10) || chr(10) || '| ' || replace(title, '|', chr(92) || '|') || ' | 7 |' || chr(10) || '| --- | --- |' || chr(10) || '|  | ' || slug || ' |' END AS text,
+    CAST(CASE form WHEN 'docx' THEN 0 WHEN 'pptx' THEN 2 ELSE 1 END AS INTEGER) AS n_segments FROM ({OFFICE})""")
+def office_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-TBL-3 to 5, O-FILE-3 to 7, 15: office files made of the table's values, read back with their structure."""
+    from quillmesh.plans.pipeline import Engine
+
+    d = derived(spark, sf_dir, OFFICE, "extractions")
+    s = d.select(F.concat(F.lit("/office/"), F.col("extraction_id").cast("string"), F.lit("."), "form").alias("raw"), _office_file("form", "title", "slug", "kind").alias("content"))
+    got = Engine().run(s, provider="docs")
+    return got.select(F.regexp_extract("raw", r"(\d+)\.\w+$", 1).cast("bigint").alias("extraction_id"), "text", F.size("segments").alias("n_segments"))
 
 
 @query("widget_strip", """SELECT doc_id, 'One' || chr(10) || '- item' || chr(10) || 'flat ' || CAST(doc_id AS STRING) || chr(10) || '## Two' || chr(10) || 'see [a](https://h.example/x/y) ![i](https://h.example/p/i.png)' AS t FROM documents""")
