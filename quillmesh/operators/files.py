@@ -271,16 +271,26 @@ def unit_segments(units: Column) -> Column:
     return F.transform(F.filter(units, lambda u: trimmed(u["text"]) != ""), lambda u: F.struct(F.lit(0).cast("bigint").alias("start_ms"), F.lit(0).cast("bigint").alias("end_ms"), u["text"].alias("text")))
 
 
-def assembled(df: DataFrame, stem: str = "stem") -> DataFrame:
-    """Files with a column ``file`` of RESULT's shape as results: blank text fails with 30, an engine error with 10."""
-    f = F.col("file").withField("text", F.when(F.col("file.wrapped"), reflowed(F.col("file.text"))).otherwise(F.col("file.text")))
-    df = once(df, file=f)
-    f = F.col("file")
+def reflowed_file(df: DataFrame, file: str = "file") -> DataFrame:
+    """The column of RESULT's shape with soft-wrapped text joined to paragraphs."""
+    f = F.col(file)
+    return once(df, **{file: f.withField("text", F.when(f["wrapped"], reflowed(f["text"])).otherwise(f["text"]))})
+
+
+def file_columns(f: Column, stem: Column) -> dict[str, Column]:
+    """A file of RESULT's shape as a result: blank text fails with 30, an engine error with 10."""
     ok = F.coalesce(trimmed(f["text"]) != "", F.lit(False))
     detail = F.struct(F.coalesce(f["tier"], F.lit("file")).alias("extractor"), F.coalesce(f["tier"].isin(*STRUCTURED), F.lit(False)).alias("structured"), locators(f["units"], f["unit_key"]).alias("locators"))
-    return df.select(
-        *[c for c in df.columns if c not in ("file", "content")],
-        F.when(ok, "success").otherwise("failed").alias("status"), F.when(ok, F.coalesce(blank_to_null(f["title"]), F.col(stem))).otherwise("").alias("title"), F.when(ok, blank_to_null(f["authors"])).alias("author"),
-        F.when(ok, f["text"]).otherwise("").alias("text"), F.when(ok, F.coalesce(unit_segments(f["units"]), F.array().cast("array<struct<start_ms:bigint,end_ms:bigint,text:string>>"))).alias("segments"), F.when(ok, detail).alias("extractor"),
-        F.when(~ok, F.coalesce(f["error"], F.lit("no text found"))).alias("error"), F.when(ok, 0).when(f["error"].isNotNull(), 10).otherwise(30).alias("exit_code"),
-    )
+    none = F.array().cast("array<struct<start_ms:bigint,end_ms:bigint,text:string>>")
+    return {
+        "status": F.when(ok, "success").otherwise("failed"), "title": F.when(ok, F.coalesce(blank_to_null(f["title"]), stem)).otherwise(""), "author": F.when(ok, blank_to_null(f["authors"])),
+        "text": F.when(ok, f["text"]).otherwise(""), "segments": F.when(ok, F.coalesce(unit_segments(f["units"]), none)), "extractor": F.when(ok, detail),
+        "error": F.when(~ok, F.coalesce(f["error"], F.lit("no text found"))), "exit_code": F.when(ok, 0).when(f["error"].isNotNull(), 10).otherwise(30),
+    }
+
+
+def assembled(df: DataFrame, stem: str = "stem") -> DataFrame:
+    """Files with a column ``file`` of RESULT's shape as results."""
+    df = reflowed_file(df)
+    made = file_columns(F.col("file"), F.col(stem))
+    return df.select(*[c for c in df.columns if c not in ("file", "content")], *[c.alias(n) for n, c in made.items()])

@@ -1,8 +1,9 @@
-"""The engine: sources in, results and events out, one branch per kind."""
+"""The engine: sources in, results and events out, in one pass over the sources."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import blank_to_null, trimmed
 from quillmesh.operators import captions, detect, html, identity, sinks
-from quillmesh.operators.files import assembled, extracted_file
+from quillmesh.operators.files import extracted_file, file_columns, reflowed_file
 from quillmesh.runtime import once
 
 RESULT = ("raw", "kind", "slug", "status", "title", "author", "duration_ms", "language", "text", "extractor", "error", "exit_code", "segments", "detail")
@@ -35,15 +36,24 @@ class Provider(Protocol):
 def _result(df: DataFrame, **columns: Column) -> DataFrame:
     """A frame of RESULT's columns; what a kind doesn't know is null."""
     kinds = {"duration_ms": "bigint", "exit_code": "int", "segments": SEGMENTS, "detail": DETAIL}
-    return df.select("raw", "kind", "slug", *[columns.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in RESULT[3:]])
+    return df.select("raw", "kind", columns.get("slug", F.col("slug")).alias("slug"), *[columns.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in RESULT[3:]])
+
+
+#: A step adds what it computes for the rows of ``on`` to a frame and says how results follow from it.
+Made = tuple[DataFrame, dict[str, Column]]
+Step = Callable[[DataFrame, Column], Made]
 
 
 @dataclass
 class Kind:
-    """A provider made of a rule of detect.RULES and an extraction step."""
+    """A provider made of a rule of detect.RULES and an extraction step.
+
+    The engine runs the steps of all such kinds one after the other over the same rows, each on
+    the inputs of its own kinds only, so that the sources are scanned and detected once.
+    """
 
     kind: str
-    step: object = field(repr=False)
+    step: Step = field(repr=False)
 
     def matches(self, raw: Column) -> Column:
         return detect.RULES[self.kind](raw)
@@ -52,30 +62,34 @@ class Kind:
         return identity.input_slug(raw, F.lit(self.kind), detect.video_id(raw))
 
     def extract(self, df: DataFrame) -> DataFrame:
-        return self.step(df)
+        made, columns = self.step(df, F.lit(True))
+        return _result(made, **columns)
 
 
-def pages(df: DataFrame) -> DataFrame:
+def pages(df: DataFrame, on: Column) -> Made:
     """Rows with html: gate, clean-up, login wall, title."""
-    md = html.extracted(df.select("raw", "kind", "slug", F.col("html").alias("__md")), "__md", "raw")
+    md = html.extracted(df.withColumn("__md", F.when(on, F.col("html"))), "__md", "raw")
     md = once(md, __md=F.col("__md"))
     text = F.col("__md")
     wall = F.coalesce(detect.is_login_wall(text), F.lit(False))
     ok = text.isNotNull() & ~wall
-    return _result(
-        md, status=F.when(ok, "success").otherwise("failed"), title=F.when(ok, identity.page_title(text, F.col("slug"))).otherwise(""), text=F.when(ok, text).otherwise(""), extractor=F.when(ok, "html2md"), detail=detail(F.when(ok, "html2md"), structured=F.lit(True)),
-        error=F.when(wall, "login wall").when(text.isNull(), "page has no content"), exit_code=F.when(ok, 0).when(wall, detect.EXIT["not_authenticated"]).otherwise(detect.EXIT["primary_failed"]),
-    )
+    made = F.when(ok, "html2md")
+    return md, {
+        "status": F.when(ok, "success").otherwise("failed"), "title": F.when(ok, identity.page_title(text, F.col("slug"))).otherwise(""), "text": F.when(ok, text).otherwise(""), "extractor": made, "detail": detail(made, structured=F.lit(True)),
+        "error": F.when(wall, "login wall").when(text.isNull(), "page has no content"), "exit_code": F.when(ok, 0).when(wall, detect.EXIT["not_authenticated"]).otherwise(detect.EXIT["primary_failed"]),
+    }
 
 
-def texts(df: DataFrame) -> DataFrame:
+def texts(df: DataFrame, on: Column) -> Made:
     """Rows with text: passed on as it is; a missing one fails with 10, a blank one with 30."""
     text = F.col("text")
     ok = F.coalesce(trimmed(text) != "", F.lit(False))
-    return _result(
-        df, status=F.when(ok, "success").otherwise("failed"), title=F.when(ok, identity.text_title(text, F.col("slug"))).otherwise(""), text=F.when(ok, text).otherwise(""), extractor=F.when(ok, "text"), detail=detail(F.when(ok, "text"), structured=F.lit(True), ext=detect.suffix(F.col("raw"), detect.TEXTS)),
-        error=F.when(text.isNull(), "file not found").when(~ok, "empty file"), exit_code=F.when(ok, 0).when(text.isNull(), detect.EXIT["primary_failed"]).otherwise(detect.EXIT["exhausted"]),
-    )
+    made = F.when(ok, "text")
+    return df, {
+        "status": F.when(ok, "success").otherwise("failed"), "title": F.when(ok, identity.text_title(text, F.col("slug"))).otherwise(""), "text": F.when(ok, text).otherwise(""), "extractor": made,
+        "detail": detail(made, structured=F.lit(True), ext=detect.suffix(F.col("raw"), detect.TEXTS)), "error": F.when(text.isNull(), "file not found").when(~ok, "empty file"),
+        "exit_code": F.when(ok, 0).when(text.isNull(), detect.EXIT["primary_failed"]).otherwise(detect.EXIT["exhausted"]),
+    }
 
 
 def detail(extractor: Column, **known: Column) -> Column:
@@ -84,26 +98,25 @@ def detail(extractor: Column, **known: Column) -> Column:
     return F.when(extractor.isNotNull(), F.struct(*[known.get(n, extractor if n == "extractor" else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()]))
 
 
-def files(df: DataFrame, engines: dict | None = None) -> DataFrame:
+def files(df: DataFrame, on: Column, engines: dict | None = None) -> Made:
     """Rows with content: by the file engines, with the pages, slides or sheets as segments."""
     ext = F.coalesce(detect.suffix(F.col("raw"), detect.DOCS), detect.suffix(F.col("raw"), detect.IMAGES), F.when(F.col("kind") == "pdf", "pdf"))
-    read = df.select("raw", "kind", "slug", F.col("slug").alias("stem"), ext.alias("ext"), extracted_file("content", ext, engines).alias("file"))
-    done = assembled(read)
-    title = F.when((F.col("kind") == "image") & (F.col("status") == "success"), identity.scan_title(F.col("text"), F.col("title"))).otherwise(F.col("title"))
-    made = detail(F.col("extractor.extractor"), structured=F.col("extractor.structured"), ext=F.col("ext"), locators=F.col("extractor.locators"))
-    return _result(
-        done, status=F.col("status"), title=title, author=F.col("author"), text=F.col("text"), extractor=F.col("extractor.extractor"), error=F.col("error"), exit_code=F.col("exit_code"), segments=F.col("segments"), detail=made,
-    )
+    df = once(df, __ext=F.when(on, ext))
+    df = reflowed_file(df.withColumn("__file", extracted_file(F.when(on, F.col("content")), F.col("__ext"), engines)), "__file")
+    made = file_columns(F.col("__file"), F.col("slug"))
+    by = made["extractor"]
+    title = F.when((F.col("kind") == "image") & (made["status"] == "success"), identity.scan_title(made["text"], made["title"])).otherwise(made["title"])
+    return df, made | {"title": title, "extractor": by["extractor"], "detail": detail(by["extractor"], structured=by["structured"], ext=F.col("__ext"), locators=by["locators"])}
 
 
-def videos(df: DataFrame) -> DataFrame:
+def videos(df: DataFrame, on: Column) -> Made:
     """Rows with vtt, transcript, track info or an error, optionally title and duration_s.
 
     Captions come first: paragraphs by pauses, cues as segments. Else the transcript, sliced
     over the duration. A message that speaks of a restricted video gives 40, one of a missing
     sign-in 21; a video without either text fails with 20. A known title also names the slug.
     """
-    timed = once(df, __cues=captions.merged_cues(captions.parsed_cues(F.col("vtt"))))
+    timed = once(df, __cues=captions.merged_cues(captions.parsed_cues(F.when(on, F.col("vtt")))))
     timed = once(timed, __body=blank_to_null(captions.paragraph_text(F.col("__cues"))), __said=blank_to_null(F.col("transcript")))
     text = F.coalesce("__body", "__said")
     ok = text.isNotNull()
@@ -115,11 +128,11 @@ def videos(df: DataFrame) -> DataFrame:
     made = F.when(F.col("__body").isNotNull(), "captions").when(ok, "transcript")
     by_captions = F.col("__body").isNotNull()
     lang = F.when(by_captions, F.col("caption_lang"))
-    return _result(
-        timed.withColumn("slug", slug), status=F.when(ok, "success").otherwise("failed"), title=F.coalesce("title", F.col("slug")), text=F.coalesce(text, F.lit("")), duration_ms=ms, language=lang,
-        extractor=made, error=F.when(~ok, F.coalesce(told, F.lit("no captions and no transcript"))), exit_code=F.when(ok, 0).otherwise(code), segments=F.when(by_captions, cues).when(ok, slices),
-        detail=detail(made, structured=by_captions, caption_lang=lang, caption_source=F.when(by_captions, F.col("caption_source"))),
-    )
+    return timed, {
+        "slug": slug, "status": F.when(ok, "success").otherwise("failed"), "title": F.coalesce("title", slug), "text": F.coalesce(text, F.lit("")), "duration_ms": ms, "language": lang,
+        "extractor": made, "error": F.when(~ok, F.coalesce(told, F.lit("no captions and no transcript"))), "exit_code": F.when(ok, 0).otherwise(code), "segments": F.when(by_captions, cues).when(ok, slices),
+        "detail": detail(made, structured=by_captions, caption_lang=lang, caption_source=F.when(by_captions, F.col("caption_source"))),
+    }
 
 
 class Registry:
@@ -143,7 +156,7 @@ class Registry:
 
 def default_registry(engines: dict | None = None) -> Registry:
     """The kinds in their order; ``engines`` by suffix are used instead of the registered ones."""
-    read = lambda df: files(df, engines)
+    read = lambda df, on: files(df, on, engines)
     return Registry([Kind("youtube", videos), Kind("pdf", read), Kind("docs", read), Kind("text", texts), Kind("image", read), Kind("html", pages)])
 
 
@@ -169,8 +182,8 @@ class Engine:
         """Results of all sources that have no earlier success in ``done`` (source_id, slug, status).
 
         A source of no kind fails with 30; with ``provider`` set, one that doesn't match it
-        fails with 11, and an unknown provider fails all with 2. Each kind is a branch of its
-        own, so heavy columns are read and computed only for the rows that need them.
+        fails with 11, and an unknown provider fails all with 2. The built-in kinds share one
+        scan and one detection; a provider of one's own is a branch beside them.
         """
         full = sources.select("raw", *[F.col(c) if c in sources.columns else F.lit(None).cast(t).alias(c) for c, t in self.INPUTS.items()])
         found = self.detect(full)
@@ -183,11 +196,33 @@ class Engine:
             found = found.where(fits).withColumn("kind", F.lit(provider)).withColumn("slug", known.slug(F.col("raw")) if known else F.col("slug"))
         if done is not None and not force:
             found = sinks.uncached(found.withColumn("source_id", F.col("raw")), done).drop("source_id")
-        parts = [p.extract(found.where(F.col("kind") == p.kind)) for p in self.registry.all() if provider in (None, p.kind)]
-        parts.append(_result(found.where("kind is null"), status=F.lit("failed"), error=F.lit("no provider matches"), exit_code=F.lit(detect.EXIT["exhausted"])))
+        asked = [p for p in self.registry.all() if provider in (None, p.kind)]
+        others = [p for p in asked if not isinstance(p, Kind)]
+        parts = [self._in_one_pass(found.where(F.col("kind").isNull() | ~F.col("kind").isin(*[p.kind for p in others])) if others else found, [p for p in asked if isinstance(p, Kind)])]
+        parts += [p.extract(found.where(F.col("kind") == p.kind)) for p in others]
         if wrong is not None:
             parts.append(wrong)
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
+
+    @staticmethod
+    def _in_one_pass(found: DataFrame, kinds: list[Kind]) -> DataFrame:
+        """Results of the built-in kinds: every step over the same rows, each on those of its kinds; rows of no kind fail."""
+        steps: dict[Step, list[str]] = {}
+        for p in kinds:
+            steps.setdefault(p.step, []).append(p.kind)
+        made = []
+        for step, names in steps.items():
+            on = F.coalesce(F.col("kind").isin(*names), F.lit(False))
+            found, columns = step(found, on)
+            made.append((on, columns))
+        out: dict[str, Column] = {"slug": F.col("slug"), "status": F.lit("failed"), "error": F.lit("no provider matches"), "exit_code": F.lit(detect.EXIT["exhausted"])}
+        for name in ("slug", *RESULT[3:]):
+            for on, columns in made:
+                if name in columns:
+                    out[name] = F.when(on, columns[name]).otherwise(out.get(name, F.lit(None)))
+                elif name in out and name != "slug":
+                    out[name] = F.when(~on, out[name])
+        return _result(found, **out)
