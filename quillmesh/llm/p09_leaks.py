@@ -17,6 +17,7 @@ from quillmesh.runtime import cut
 GRAM, WINDOW = 3, 2  # words hashed together, hashes of which the least is kept: spans of GRAM + WINDOW - 1 equal words always meet
 LEAST = 12  # words of an item that make a leak
 ERRORS = 8  # one word in so many may be wrong, and one in a shorter stretch
+LEAST_HITS = 2  # of k equal words in a row (k - 2) // 2 fingerprints are kept at least, so one stretch that leaks has three or more; of two, each must hold one
 RARE = 0.02  # share of the different item texts that may have a gram which still tells items apart
 BROADCAST_PRINTS, BROADCAST_BYTES = 2_000_000, 1 << 26  # fingerprints of items, and bytes of their texts, that are broadcast; more are joined by a shuffle
 
@@ -152,10 +153,11 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
 
     Both sides are fingerprinted alike and joined on the hashes, so every span of GRAM + WINDOW
     - 1 equal words is met; each hit is extended word by word along its diagonal, and one or
-    two stretches in the item's order are counted. A pair is read from one hit on: of ``least``
-    words, with one in ERRORS wrong and in two stretches, GRAM + WINDOW - 1 always stand together
-    or as much in several places. Null keys and texts and items of fewer than ``least`` words
-    give no rows; repeated rows count once; very long texts are read whole.
+    two stretches in the item's order are counted. A pair of one hit is left unread, since it
+    can't count: in one stretch of ``least`` words with one in ERRORS wrong there are three hits
+    or more, and of two stretches each must hold a hit of its own, which GRAM + WINDOW - 1 equal
+    words in a row always give. Null keys and texts and items of fewer than ``least`` words give
+    no rows; repeated rows count once; very long texts are read whole.
     """
     asked = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("item_text")).where("item is not null and item_text is not null").dropDuplicates(["item"])
     n_texts, size = asked.agg(F.countDistinct("item_text"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()
@@ -170,7 +172,7 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     met = prints(documents, key, text, ("doc", "dpos")).join(hint(theirs), "h")
     # Hits along one diagonal are joined before they travel: a long equal span is one row.
     met = met.groupBy("doc", "item", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.array_sort(F.collect_set("ipos")).alias("at")).groupBy("doc", "item").agg(F.collect_list(F.struct("shift", "at")).alias("hits"))
-    met = cut(met)
+    met = cut(met.where(F.aggregate("hits", F.lit(0), lambda n, x: n + F.size(x["at"])) >= LEAST_HITS))
     texts = documents.select(F.col(key).alias("doc"), F.col(text).alias("dt")).where("doc is not null and dt is not null").join(met.select("doc").distinct(), "doc", "left_semi")
     pairs = met.join(texts, "doc").join(text_hint(asked.select("item", "own", "item_text")), "item")
     kinds = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]

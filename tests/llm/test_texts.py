@@ -285,6 +285,16 @@ def test_leaks_of_items_in_many_copies_and_with_wrong_words(spark):
     assert got == {(k, k - 1) for k, _, leak in docs if leak} | {(1, 100 + i) for i in range(60)}
 
 
+def test_a_stretch_that_leaks_has_three_hits_or_more():
+    rng = random.Random(6)
+    for _ in range(3000):
+        item = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(12, 40))]
+        wrong = rng.sample(range(1, len(item) - 1), max(1, len(item) // p09_leaks.ERRORS))
+        doc = ["x" if i in wrong else w for i, w in enumerate(item)]
+        kept = [{int(h[i]) for i in p09_leaks.winnow(h)} for h in map(p09_leaks.gram_hashes, (item, doc))]
+        assert len(kept[0] & kept[1]) >= 3
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 50])
 def test_winnowing_guarantee(n):
     h = np.random.default_rng(n).integers(0, 9, n)
