@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import bind, trimmed
+from quillmesh.runtime import blocked_last, cut
 
 GAP_MS = 1500
 STAMP = r"(?:(\d{1,2}):)?(\d{1,2}):(\d{2})[.,](\d{3})"
@@ -58,19 +59,29 @@ def paragraph_text(segments: Column, gap_ms: int = GAP_MS) -> Column:
     return bind(segments, said)
 
 
+def _runs(df: DataFrame, key: str, order: str, carried: tuple[str, ...], begins) -> DataFrame:
+    """Adds __run, the order value at which the run of each row began; begins(row before) says where one does.
+
+    Rows see the one before them and their run's start by fills in blocks of positions, so that
+    no task windows a whole long transcript. Order values are whole numbers, unique in a key.
+    """
+    before = cut(blocked_last(df, [key], order, F.struct(*carried), "__before", include_self=False))
+    first = F.col("__before").isNull() | F.coalesce(begins(F.col("__before")), F.lit(False))
+    return blocked_last(before.withColumn("__begin", F.when(first, F.col(order))), [key], order, F.col("__begin"), "__run").drop("__before", "__begin")
+
+
 def merged_rows(df: DataFrame, key: str, order: str, text: str, start: str, end: str) -> DataFrame:
-    """As merged_cues on rows: gaps and islands by a window over each key."""
-    w = Window.partitionBy(key).orderBy(order)
-    marked = df.withColumn("__new", F.when(F.lag(text).over(w).eqNullSafe(F.col(text)) & (F.row_number().over(w) > 1), 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w))
+    """As merged_cues on rows."""
+    marked = _runs(df, key, order, (text,), lambda last: ~last[text].eqNullSafe(F.col(text)))
     return marked.groupBy(key, "__run").agg(F.min(order).alias(order), F.min(start).alias("start_ms"), F.max_by(end, order).alias("end_ms"), F.first(text).alias("text"), F.count("*").alias("n")).drop("__run")
 
 
 def paragraphs(df: DataFrame, key: str, order: str, text: str, start: str, end: str, gap_ms: int = GAP_MS) -> DataFrame:
-    """Paragraphs (key, para, start_ms, end_ms, text): a new one where the pause exceeds gap_ms."""
-    w = Window.partitionBy(key).orderBy(order)
-    marked = df.withColumn("__new", F.when(F.col(start) - F.lag(end).over(w) > gap_ms, 1).otherwise(0)).withColumn("para", F.sum("__new").over(w))
+    """Paragraphs (key, para, start_ms, end_ms, text): a new one where the pause exceeds gap_ms. They are numbered after they are made."""
+    marked = _runs(df, key, order, (end,), lambda last: F.col(start) - last[end] > gap_ms)
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), " ")
-    return marked.groupBy(key, "para").agg(F.min(start).alias("start_ms"), F.max_by(end, order).alias("end_ms"), said.alias("text"))
+    made = marked.groupBy(key, "__run").agg(F.min(start).alias("start_ms"), F.max_by(end, order).alias("end_ms"), said.alias("text"))
+    return made.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("__run")) - 1).cast("bigint").alias("para"), "start_ms", "end_ms", "text")
 
 
 def transcript_slices(text: Column, duration_ms: Column) -> Column:
