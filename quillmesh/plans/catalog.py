@@ -349,7 +349,20 @@ def reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "extractions").where("kind = 'pdf' and text is not null").select("extraction_id", textops.reflowed(F.col("text")).alias("t")).distinct()
 
 
-@query("restored_breaks")
+def breaks_sql(text: str) -> str:
+    """The marks before which a paragraph breaks, one after the other; a match takes the character before it along."""
+    for mark in (r"\d{1,3}\s*[—\-–]\s+\S", "→ ", r"[\x{1F300}-\x{1FAFF}]\s+[A-Z][A-Za-z &/]+", r"Update\s+[A-Z][a-z]+\s+\d+[, ]"):
+        text = rf"regexp_replace({text}, '([^\n])\s({mark})', '\1' || chr(10) || chr(10) || '\2', 'g')"
+    return text
+
+
+WIDE_SQL = "length(" + trim_sql("{0}") + ") > 30"
+
+
+@query("restored_breaks", rf"""WITH t AS (SELECT doc_id, string_split({breaks_sql("(text || ' 12 — next → go Update May 3, x')")}, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT doc_id, array_to_string(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN {WIDE_SQL.replace("{0}", "ls[i]")} AND {WIDE_SQL.replace("{0}", "coalesce(ls[i + 1], '')")} AND NOT regexp_matches(coalesce(ls[i + 1], ''), '^\s*[-*•]\s')
+        AND regexp_matches(ls[i], '[.!?"'')\]…]\s*$') THEN ls[i] || chr(10) ELSE ls[i] END), chr(10)) AS t FROM t)
+    SELECT doc_id, {trim_sql("regexp_replace(t, '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g')")} || chr(10) AS t FROM b""")
 def restored_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-TXT-3."""
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", textops.restored_breaks(F.concat("text", F.lit(" 12 — next → go Update May 3, x"))).alias("t"))
