@@ -726,8 +726,8 @@ def office_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.regexp_extract("raw", r"(\d+)\.\w+$", 1).cast("bigint").alias("extraction_id"), "text", F.size("segments").alias("n_segments"))
 
 
-@query("widget_strip", """SELECT doc_id, 'One' || chr(10) || '- item' || chr(10) || 'flat ' || CAST(doc_id AS STRING) || chr(10) || '## Two' || chr(10) || 'see [a](https://h.example/x/y) ![i](https://h.example/p/i.png)' AS t FROM documents""")
+@query("widget_strip", """SELECT doc_id, 'One' || chr(10) || '- item' || chr(10) || 'flat ' || CAST(doc_id AS STRING) || chr(10) || '## Two' || chr(10) || 'see [a](https://h.example/x/y) ![i](https://h.example/p/i.png) [s](../../assets/' || coalesce(lang, 'x') || '/s.png) ![t](/assets/t.png) [w](Word) [u](https://h.example/' || coalesce(lang, 'x') || '/u)' AS t FROM documents""")
 def widget_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-HTML-21, 22."""
-    t = F.concat(F.lit("Skip to main content\nOne\n  - item\n    flat "), F.col("doc_id").cast("string"), F.lit("\n- Embed\n3/10 completed\n##\n## ​Two\n- [Star\n1,088](u)You must be signed in\nsee [a](/x/y) ![i](i.png)"))
+    t = F.concat(F.lit("Skip to main content\nOne\n  - item\n    flat "), F.col("doc_id").cast("string"), F.lit("\n- Embed\n3/10 completed\n##\n## ​Two\n- [Star\n1,088](u)You must be signed in\nsee [a](/x/y) ![i](i.png) [s](../../assets/"), F.coalesce("lang", F.lit("x")), F.lit("/s.png) ![t](/assets/t.png) [w](Word) [u](../"), F.coalesce("lang", F.lit("x")), F.lit("/u)"))
     return table(spark, sf_dir, "documents").select("doc_id", html.without_widgets(html.relative_links(t, F.lit("https://h.example/p/q"))).alias("t"))
